@@ -177,3 +177,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: hits of all benchmark windows in all documents."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, c.table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+def sql() -> str:
+    """The same in DuckDB's SQL: windows as joined words, compared at every place of every document."""
+    fold = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {fold} AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {fold} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(ws), {WINDOW}) AS n, array_to_string(ws[i : i + least(len(ws), {WINDOW}) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, array_to_string(ws[i : i + n - 1], ' ') AS w FROM (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+h AS (SELECT r, item, i, dw.n FROM dw JOIN bw ON dw.w = bw.w AND dw.n = bw.n),
+hw AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) FROM h) GROUP BY r),
+hi AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)"""
