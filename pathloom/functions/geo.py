@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCALE = 1e7
 EARTH_RADIUS = 6372797.0  # metres
@@ -160,7 +161,7 @@ def direct(lat, lng, metres, bearing, *, ellipsoid: str = "WGS84") -> tuple[np.n
     return np.degrees(lat2), (np.asarray(lng) + np.degrees(dl) + 180) % 360 - 180
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ellipsoidal(lat1: pd.Series, lng1: pd.Series, lat2: pd.Series, lng2: pd.Series) -> pd.Series:
     """Metres between points on WGS84."""
     return pd.Series(inverse(lat1.to_numpy(float), lng1.to_numpy(float), lat2.to_numpy(float), lng2.to_numpy(float))[0])
@@ -202,7 +203,7 @@ def from_half(half: np.ndarray) -> np.ndarray:
     return (sign | bits).astype(np.uint32).view(np.float32)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def half_rounded(x: pd.Series) -> pd.Series:
     """A length as a 16-bit float keeps it: infinite ones are the greatest finite, zero the least normal."""
     v = from_half(to_half(x.to_numpy(np.float32)))

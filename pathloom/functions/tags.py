@@ -94,11 +94,14 @@ def default_access(tags: Column) -> Column:
 
 
 def access_mask(tags: Column) -> Column:
-    """Modes that a way admits: its class's, overridden by access tags from the general to the special."""
-    mask = default_access(tags)
-    for key, modes in OVERRIDES:
-        value = tag(tags, key)
-        mask = F.when(value.isNull(), mask).when(parse_bool(value), mask.bitwiseOR(modes)).otherwise(mask.bitwiseAND(ALL & ~modes))
+    """Modes that a way admits: its class's, overridden by access tags from the general to the special.
+
+    For each mode the most special tag that is present decides, so the expression grows with the tags only.
+    """
+    base, mask = default_access(tags), F.lit(0)
+    for mode in (CAR, BIKE, FOOT):
+        said = [F.when(tag(tags, key).isNotNull(), parse_bool(tag(tags, key))) for key, modes in reversed(OVERRIDES) if modes & mode]
+        mask = mask + F.when(F.coalesce(*said, base.bitwiseAND(mode) > 0), mode).otherwise(0)
     return F.when(~is_road(tags) | under_construction(tags), 0).otherwise(mask)
 
 

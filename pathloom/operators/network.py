@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags as t
+from . import search
 
 MODES = ["car", "bike", "foot"]
 _MASK = {"car": t.CAR, "bike": t.BIKE, "foot": t.FOOT}
@@ -72,7 +73,7 @@ def edges(segments_df: DataFrame, accepted_df: DataFrame) -> DataFrame:
 
 def build(ways: DataFrame, nodes: DataFrame, modes: list[str] = MODES) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of the street graph of some ways."""
-    good = accepted(ways, modes)
+    good = search.settled(accepted(ways, modes))  # three uses, and a plan of its own
     at = located(places(good), nodes)
     ids = vertex_ids(places(good))
     vertices = ids.join(nodes.select(F.col("node_id").alias("vertex_id"), "lat", "lng"), "vertex_id", "left").withColumns({k: F.coalesce(k, F.lit(0).cast("bigint")) for k in ("lat", "lng")})
