@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd lab
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|replies|responses|respond|footer|foot|masthead|topbar|toolbar|header|pagination|pager|tags|skip|copyright|disclaimer|alert)(?=$|[\s_-])", re.IGNORECASE)
 REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|responses?|widget|promo|advert\w*|sponsor\w*|ads?)(?=$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: A tag that the end of the page cuts off.
+CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 KEPT_REGIONS = frozenset(["article", "main", "body", "html"])
 
 
@@ -148,7 +150,7 @@ def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> st
         return ""
     parser = _Blocks()
     try:
-        parser.feed(html)
+        parser.feed(CUT_TAG.sub("", html))
         parser.close()
     except (AssertionError, ValueError):  # markup that the parser gives up on: what came before counts
         pass
