@@ -90,7 +90,8 @@ PARTS = (range(21), range(21, 42), range(42, 64))
 
 def _shared(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``variants`` (fp, v) dealt by v, and for each v of several fingerprints the least of them; one shuffle serves both."""
-    dealt = variants.repartition("v")
+    # the join would add this filter below its own exchange, which then were not the same as the grouping's
+    dealt = variants.where("v is not null").repartition("v")
     return dealt, dealt.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a")
 
 
