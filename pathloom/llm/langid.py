@@ -191,7 +191,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """The model of a bounded sample of the labelled rows of ``docs``: those with the least hash of their id."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     picked = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= docs_per_lang).select("i", "l").distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.substring(F.lower(text_col), 1, doc_chars).alias("t")).join(picked, ["i", "l"])
+    texts = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.substring(F.lower(text_col), 1, doc_chars).alias("t")).join(F.broadcast(picked), ["i", "l"])  # at most docs_per_lang rows a language
     samples: dict[str, list[str]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["l"], str(r["i"]), r["t"] or "")):
         samples.setdefault(row["l"], []).append(fold(row["t"] or ""))
