@@ -98,14 +98,17 @@ def _shared(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
 def suspects(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Those of the distinct fingerprints ``fp`` that share a variant of two parts with another."""
     spark = fps.sparkSession
-    kinds = []
+    masks: list[int] = []
+    kept = None  # the bits of the parts that a mask's place belongs to
     for left_out in PARTS:
         bits = [b for part in PARTS if part != left_out for b in part]
-        masks, keep = ball(bits, radius // 4), _signed(sum(1 << b for b in bits))
-        kinds.append(fps.select("fp", F.explode(_masks(spark, masks)).alias("m"), F.lit(keep).alias("keep")))
-    variants = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).select("fp", F.expr("(fp & keep) ^ m").alias("v"))
+        keep = F.lit(_signed(sum(1 << b for b in bits)))
+        masks += ball(bits, radius // 4)
+        kept = (F.when if kept is None else kept.when)(F.col("k") < len(masks), keep)
+    variants = fps.select("fp", F.posexplode(_masks(spark, masks)).alias("k", "m")).select("fp", F.col("fp").bitwiseAND(kept).bitwiseXOR(F.col("m")).alias("v"))
     dealt, shared = _shared(variants)
-    return dealt.join(shared, "v", "left_semi").select("fp").distinct()
+    # an inner join: a left semi join would be pushed below the exchange
+    return dealt.join(shared, "v").select("fp").distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
