@@ -392,11 +392,13 @@ def route_json(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driving by distance between the first two and the last vertices of the large component, over four cells."""
+    """Driving by distance between the first and the last vertex of the largest component, over four cells."""
     w = ways(spark, sf_dir)
     v, e = network.build(w, derived.nodes(w))
     e = search.settled(e)
-    region = search.settled(search.accessible({"car": network.darts(e, "car")}, 8).where("car").select("vertex_id"))
+    comps = search.settled(search.strong_components(network.darts(e, "car")))
+    largest = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    region = search.settled(comps.join(largest, "component", "left_semi").select("vertex_id"))
     machine = engine.Engine(v.join(region, "vertex_id", "left_semi"), network.induced(e, region), 4)
     ends = machine.vertices.agg(F.min(F.struct("vertex_id", "lat", "lng")).alias("a"), F.max(F.struct("vertex_id", "lat", "lng")).alias("b")).first()
     text = "|".join(f"{p['lat'] / geo.SCALE},{p['lng'] / geo.SCALE}" for p in (ends["a"], ends["b"]))
