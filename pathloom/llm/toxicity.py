@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: Bound of the training sample: documents of each label, and code points of each of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 8_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 8_000
 LANDMARKS, DECAY, SPAN, ROUNDS = 160, 0.8, 6, 4
 MOST_POSITIVE = 1_500
 THRESHOLD = 0.3
@@ -185,28 +185,28 @@ def _speaking(bags: list[tuple[set[str], int]]) -> set[str]:
     A run (3 to 6 letters, edges count) is typical if the documents that have it are toxic more often than chance
     explains: by its likelihood ratio, beyond what the best of so many runs would show.
     """
-    runs: dict[str, set[str]] = {}
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    def runs_of(words: set[str]) -> set[str]:
+        return {s[i : i + n] for w in words for s in (EDGE + w[:UNIT] + EDGE,) for n in (3, 4, 5, 6) for i in range(len(s) - n + 1)}
+
+    toxic: Counter = Counter()
+    for words, label in bags:
+        if label:
+            toxic.update(runs_of(words))
+    limit = 2 * math.log(max(2, len(toxic))) + 4
+    toxic = Counter({r: k for r, k in toxic.items() if k >= 3})  # what is rarer can't pass the limit
+    clean: Counter = Counter()
     for words, label in bags:
-        got: set[str] = set()
-        for w in words:
-            if w not in runs:
-                s = EDGE + w[:UNIT] + EDGE
-                runs[w] = {s[i : i + n] for n in (3, 4, 5, 6) for i in range(len(s) - n + 1)}
-            got |= runs[w]
-        seen[label].update(got)
-    toxic = sum(label for _, label in bags)
-    share = toxic / len(bags)
-    limit = 2 * math.log(max(2, len(seen[1]))) + 4
+        if not label:
+            clean.update(toxic.keys() & runs_of(words))
+    share = sum(label for _, label in bags) / len(bags)
     typical = set()
-    for r, k in seen[1].items():
-        n = k + seen[0][r]
-        if k > 3 * n * share or k == n:
-            ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
-            if ratio > limit and k / n > 0.8:
-                typical.add(r)
-    clean = {w for words, label in bags if not label for w in words}
-    return {w for words, label in bags if label for w in words if w not in clean and runs[w] & typical}
+    for r, k in toxic.items():
+        n = k + clean[r]
+        ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
+        if ratio > limit and k / n > 0.8:
+            typical.add(r)
+    known = {w for words, label in bags if not label for w in words}
+    return {w for words, label in bags if label for w in words if w not in known and not typical.isdisjoint(runs_of({w}))}
 
 
 def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
