@@ -143,6 +143,23 @@ def test_branches_are_ranked(spark):
     assert [len(chat.read_turns(r.formatted)) for r in sorted(out, key=lambda r: (r.tree or 0, r.leaf))] == [1, 2, 3, 1]
 
 
+def test_conversations_by_hand(spark):
+    import hashlib
+
+    rng = random.Random(9)
+    rows = [(k, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "hi <|im_end|>", "[INST] \\ x", "ünï"])) for k in (1, 2, 3, None) for t in [*range(37), 5, 5, None]]
+    rows += [(4, 0, "user", "once")] * 2
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns_of(*chat.chains(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    assert len(got) == 5
+    for k, r in got.items():
+        turns = sorted(((-1 if t is None else t), role or "", text or "") for c, t, role, text in rows if c == k)
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars == len(chat.format_turns([x[1:] for x in turns])[0])
+
+
 def test_next_documents(spark):
     texts = [f"the {k} cat of {k} dogs " * (k % 5) for k in range(40)] + ODD
     table = docs(spark, texts)
