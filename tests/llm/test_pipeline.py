@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from pathloom.llm import decontam
+from pathloom.llm import decontam, nearcopies
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,3 +23,44 @@ def test_passages_of_the_benchmark_are_cut_out(spark, tmp_path):
     assert [out[k].text for k in (2, 3, 4)] == texts[2:] and out[2].n_chars == len(head)
     index = decontam.index_of([(0, decontam.words(item))])
     assert all(decontam.hits(decontam.words(r.text), index) == ([], set()) for r in out.values())
+
+
+def jaccard(a, b):
+    sets = [{" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4) if ws else 0)} for ws in ((x or "").lower().split() for x in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_of_near_copies_one_stays(spark):
+    rng = random.Random(6)
+    word = lambda: "w%d" % rng.randrange(5000)
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([3, 60, 200]))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 6):
+            new = list(base)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = word()
+            texts.append(" ".join(new))
+    texts += ["", None, texts[0].upper(), texts[7]]
+    rows = [(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)]
+    # of one id different texts, and rows without an id
+    rows += [(3, " ".join(word() for _ in range(50)), "en", "src1", 1), (None, texts[5], "en", "src1", 1), (None, "only here and nowhere else", "en", "src1", 1), rows[0]]
+    out = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    stay = [tuple(r) for r in out]
+    assert len(set(stay)) == len(stay) and set(stay) <= set(rows)
+    assert not [1 for i, a in enumerate(stay) for b in stay[:i] if jaccard(a[1], b[1]) >= 0.8]
+    # least keys of components of all near copies
+    distinct = list({r[1] or "": r for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0), reverse=True)}.values())
+    root = list(range(len(distinct)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    order = lambda k: (distinct[k][0] is None, distinct[k][0] or 0)
+    for i in range(len(distinct)):
+        for j in range(i):
+            if jaccard(distinct[i][1], distinct[j][1]) >= 0.8 and find(i) != find(j):
+                low, high = sorted((find(i), find(j)), key=order)
+                root[high] = low
+    assert len(stay) >= len({find(k) for k in range(len(distinct))})
+    assert {distinct[find(k)][:2] for k in range(len(distinct))} <= {r[:2] for r in stay}
+    assert (3, rows[-4][1]) in {r[:2] for r in stay} and (None, "only here and nowhere else") in {r[:2] for r in stay}
+    assert nearcopies.likeness(nearcopies.shingles(texts[0]), nearcopies.shingles(texts[1])) == jaccard(texts[0], texts[1])
