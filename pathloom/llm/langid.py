@@ -13,7 +13,7 @@ a very long text costs no more a letter than a short one, and memory is bounded
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from . import _common as c
 
 #: Bounds of the training sample: documents a language, code points of each of them, code points in all a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 4_000, 40_000
+#: A text is foreign beyond so many times the phrases a letter usual for its language, and so many phrases more.
+FOREIGN, SLACK = 2.0, 3.0
 BLOCK = 256
 LANE_CHARS = 2_000_000
 SPACE, OTHER, PAD = 0, 1, 2
@@ -77,6 +79,7 @@ class Model:
     bits: list[float]
     shift: int
     classes: np.ndarray  # letter class of every code point
+    usual: np.ndarray | None = None  # by language: the middle phrases a letter of its own texts, none of them learnt
 
 
 def _letter_classes(letters: dict[int, int]) -> np.ndarray:
@@ -187,16 +190,55 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
     return langs, np.where(letter, score, 0.0), np.where(letter, rate, 0.0)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS, chars_per_lang: int = SAMPLE_CHARS) -> Model:
-    """The model of a bounded sample of the labelled rows of ``docs``: those with the least hash of their id."""
+def usual_rates(texts: dict[str, list[str]], size: int) -> np.ndarray:
+    """By language (in order of name) the middle phrases a letter of its own texts, judged by what is learnt of others.
+
+    Each half of the texts is judged by what is learnt of the other half, so no text is matched with itself; of a
+    single text the halves are its first and second. The median does not follow odd texts among the labelled ones.
+    """
+    parts = {k: ([ts[0][: len(ts[0]) // 2]], [ts[0][len(ts[0]) // 2 :]]) if len(ts) == 1 else (ts[::2], ts[1::2]) for k, ts in texts.items()}
+    rates: dict[str, list[float]] = {k: [] for k in sorted(texts)}
+    for half in (0, 1):
+        model = learn({k: _joined(p[half], size) for k, p in parts.items()})
+        for k, lang in enumerate(model.langs):
+            count, sizes, letter = phrases(parts[lang][1 - half], model)
+            rates[lang] += (count[:, k] / np.maximum(sizes, 1))[letter].tolist()
+    every = [r for rs in rates.values() for r in rs]
+    return np.array([float(np.median(rs or every or [1.0])) for rs in rates.values()])
+
+
+def foreign(texts: list[str | None], model: Model) -> np.ndarray:
+    """Whether each text takes many more phrases than a text of that length takes in the best of the languages learnt.
+
+    ``FOREIGN`` times as many and ``SLACK`` more, which count in texts of a few words alone. A text without a letter
+    is foreign. The measure is of phrases, so it does not depend on the bits of one, which the sample's size sets.
+    """
+    count, size, letter = phrases(texts, model)
+    if not model.langs:
+        return np.ones(len(texts), bool)
+    best = (count * np.array(model.bits)).argmin(1)
+    return ~letter | (count[np.arange(len(texts)), best] > FOREIGN * model.usual[best] * size + SLACK)
+
+
+def _joined(texts: list[str], size: int) -> str:
+    """``size`` code points of the texts, shared by document, so that every document counts."""
+    return " ".join(t[: max(100, size // max(1, len(texts)))] for t in texts)[:size]
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS, chars_per_lang: int = SAMPLE_CHARS, with_usual: bool = False) -> Model:
+    """The model of a bounded sample of the labelled rows of ``docs``: those with the least hash of their id.
+
+    ``with_usual`` adds what ``foreign`` needs.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     picked = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= docs_per_lang).select("i", "l").distinct()
     texts = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.substring(F.lower(text_col), 1, doc_chars).alias("t")).join(F.broadcast(picked), ["i", "l"])  # at most docs_per_lang rows a language
     samples: dict[str, list[str]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["l"], str(r["i"]), r["t"] or "")):
         samples.setdefault(row["l"], []).append(fold(row["t"] or ""))
-    # shares of the sample by document, so that every document of it counts
-    return learn({lang: " ".join(t[: max(100, chars_per_lang // len(ts))] for t in ts)[:chars_per_lang] for lang, ts in samples.items()})
+    model = learn({lang: _joined(ts, chars_per_lang) for lang, ts in samples.items()})
+    usual = usual_rates({k: ts for k, ts in samples.items() if k in model.langs}, chars_per_lang) if with_usual else None
+    return replace(model, usual=usual)
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "bits"), keep_text: bool = True) -> DataFrame:
@@ -223,6 +265,18 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: tupl
     return kept.mapInArrow(run, schema)
 
 
+def known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """Those rows of ``docs`` whose texts are not foreign to all languages of the model."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(~foreign(batch.column(at).to_pylist(), model)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the language of every document, learnt from two folds of three."""
     docs = c.table(spark, sf_dir, "documents")

@@ -64,3 +64,25 @@ def test_of_near_copies_one_stays(spark):
     assert {distinct[find(k)][:2] for k in range(len(distinct))} <= {r[:2] for r in stay}
     assert (3, rows[-4][1]) in {r[:2] for r in stay} and (None, "only here and nowhere else") in {r[:2] for r in stay}
     assert nearcopies.likeness(nearcopies.shingles(texts[0]), nearcopies.shingles(texts[1])) == jaccard(texts[0], texts[1])
+
+
+def test_foreign_and_junk_texts_go(spark):
+    rng = random.Random(7)
+    words = {
+        "en": "the of and to in that was his he it with is for as had you not be her on at by which have or from this him but all she they were my are me one their so an said them we who would been will no when there if more out up into do any your what has man could other than our some very time upon about may its only now like little then can should made did us such great before must two these see know over much down after first mr good men".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wir unter wenn kann schon doch ihre gegen vom können jahr wieder zwei uns keine alle".split(),
+    }
+    junk = {
+        "pl": "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie",
+        "fi": "mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saaani sanelemahan sukuvirttä suoltamahan lajivirttä laulamahan sanat suussani sulavat",
+        "ru": "мой дядя самых честных правил когда не в шутку занемог",
+        "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)),
+        "consonants": "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)),
+    }
+    for docs_a_lang, length in ((40, 200), (8, 100)):  # samples of over and under 4095 letters reject alike
+        rows = [(lang, " ".join(rng.choice(ws) for _ in range(length))) for lang, ws in words.items() for _ in range(docs_a_lang)]
+        clean = [*rows, (None, "the man"), (None, "und der"), *((None, " ".join(rng.choice(ws) for _ in range(12))) for ws in words.values() for _ in range(10))]
+        odd = [(None, x) for x in [*junk.values(), None, "", "123 !"]]
+        frame = spark.createDataFrame([(k, t, lang, "src1", len(t or "")) for k, (lang, t) in enumerate([*clean, *odd])], DOCS)
+        stay = {r.doc_id for r in corpus_pipeline.identify(spark, frame, "").collect()}
+        assert sorted(stay ^ set(range(len(clean)))) == []
