@@ -5,7 +5,7 @@ article (navigation, page headers and footers, asides, forms, scripts, styles, a
 names a menu, advert, notice, comment and so on) are left out as they stream by. Of the rest, each block is a line
 with a text-to-tag ratio: its characters outside links over its tags. The ratios are smoothed with a Gaussian, lines
 over a threshold (a share of the ratios' deviation) form clusters, and the clusters select the content region: the
-article or main element if the page has one, else the smallest element that holds most of the clustered text. All
+article or main element if the page has one, else the smallest element around the elements of all clustered lines. All
 blocks of the region come out in page order, so short ones between long ones stay.
 """
 
@@ -35,6 +35,8 @@ REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|responses?|widget|pr
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A tag that the end of the page cuts off.
 CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
+#: A number of a character that is too long for int() or for any character.
+LONG_NUMBER = re.compile(r"&#(?=[0-9]{8})0*([0-9]+)")
 KEPT_REGIONS = frozenset(["article", "main", "body", "html"])
 
 
@@ -123,6 +125,10 @@ class _Blocks(HTMLParser):
             if tag in INLINE and self.open[i][0] in BLOCKS:
                 return  # the element was ended with its block
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As browsers read them: whatever follows ``<![`` is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
@@ -149,11 +155,8 @@ def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> st
     if not html:
         return ""
     parser = _Blocks()
-    try:
-        parser.feed(CUT_TAG.sub("", html))
-        parser.close()
-    except (AssertionError, ValueError):  # markup that the parser gives up on: what came before counts
-        pass
+    parser.feed(LONG_NUMBER.sub(lambda m: f"&#{m[1] if len(m[1]) < 8 else 0x110000}", CUT_TAG.sub("", html)))
+    parser.close()
     while parser.open:
         parser._pop()
     parser.flush()
@@ -173,12 +176,15 @@ def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> st
     limit = share * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     weight: dict[int, int] = {}
     total = 0
+    shared: list[int] | None = None  # from the root down, the elements that hold all lines of content
     for (text, _, linked, number), ratio in zip(blocks, ratios, strict=True):
         if ratio >= limit:
             size = max(0, len(text) - linked)
             total += size
             for n in path(number):
                 weight[n] = weight.get(n, 0) + size
+            above = path(number)[::-1]
+            shared = above if shared is None else [n for n, m in zip(shared, above) if n == m]
     for kinds in (("article",), ("main",)):
         named = [n for n, name in enumerate(parser.names) if name in kinds and weight.get(n)]
         # articles side by side are one region; one inside another is part of it
@@ -186,8 +192,7 @@ def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> st
             chosen = set(named)
             break
     else:
-        inner = [n for n in weight if parser.names[n] != "p" and 5 * weight[n] >= 4 * total]
-        chosen = {max(inner, key=lambda n: (len(path(n)), n))} if inner else set()
+        chosen = set(shared[-1:]) if shared else set()
     return "\n".join(text for text, _, _, number in blocks if not chosen or chosen.intersection(path(number)))
 
 
