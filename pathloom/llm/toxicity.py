@@ -22,6 +22,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from sys import intern
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Bound of the training sample: documents of each label, and code points of each of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 8_000
+#: Bound of the training sample: documents of each label, and distinct units of each of them, from its whole text.
+SAMPLE_ROWS, SAMPLE_UNITS = 1_200, 4_000
 LANDMARKS, DECAY, SPAN, ROUNDS = 160, 0.8, 6, 4
 MOST_POSITIVE = 1_500
 THRESHOLD = 0.3
@@ -211,7 +213,19 @@ def _speaking(bags: list[tuple[set[str], int]]) -> set[str]:
 
 def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
     """The machine of labelled texts."""
-    bags = [({b for u in units(t) if (b := bare(u)) and len(b) > 1}, label) for t, label in zip(texts, labels, strict=True)]
+    return fit_bags([(bag(t), label) for t, label in zip(texts, labels, strict=True)], landmarks=landmarks, rounds=rounds, seed=seed)
+
+
+def bag(text: str | None, most: int | None = None) -> set[str]:
+    """The bare units of a whole text that have letters to compare; of more than ``most`` those with the least hash."""
+    out = {b for u in units(text) if (b := bare(u)) and len(b) > 1}
+    if most is None or len(out) <= most:
+        return out
+    return set(sorted(out, key=lambda w: (crc32(w.encode("utf-8", "surrogatepass")), w))[:most])
+
+
+def fit_bags(bags: list[tuple[set[str], int]], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
+    """The machine of labelled texts, each as the set of its bare units."""
     toxic = [words for words, label in bags if label and words]
     clean = [words for words, label in bags if not label and words]
     if not toxic or not clean:
@@ -315,18 +329,25 @@ def worst_margins(machine: Machine, texts: list[str | None], memory: dict[str, f
     return np.array([max(map(memory.__getitem__, bag), default=-np.inf) for bag in bags])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_a_label: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_a_label: int = SAMPLE_ROWS, units_a_row: int = SAMPLE_UNITS) -> Machine:
     """The machine of a bounded sample of labelled rows, of each label those with the least hash of their id.
 
-    Ids with several labels take the greatest; a null label is none. Without toxic or without clean rows every
+    Texts of any length count, each by at most ``units_a_row`` distinct units of the whole of it, cut out by the workers. Ids with several labels take the greatest; a null label is none. Without toxic or without clean rows every
     score is near 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
     picked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= rows_a_label).select("i", "y")
     # at most rows_a_label rows of each of two labels
-    some = docs.where(F.length(text_col) <= chars).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i")
-    rows = sorted(some.collect(), key=lambda r: (r["i"], r["t"]))
-    return fit([r["t"] for r in rows], [int(r["y"]) for r in rows])
+    some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").select("i", "y", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [" ".join(sorted(bag(t, units_a_row))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(bags, pa.string())], ["i", "y", "bag"])
+
+    rows = sorted(some.mapInArrow(run, c.added(some, "y", "t", y="bigint", bag="string")).collect(), key=lambda r: (r["i"], r["bag"]))
+    # texts share most of their units, so each is held once
+    return fit_bags([({intern(w) for w in r["bag"].split()}, int(r["y"])) for r in rows])
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted"), keep_text: bool = True) -> DataFrame:
