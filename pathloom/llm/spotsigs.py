@@ -3,10 +3,10 @@
 A signature is an anchor with the chain of the next content words (words that are no common words). Anchors are the
 common words of some languages and, so that texts with few of them have signatures too, one other word in eight, by
 hash. A document's fingerprint is the sorted list of its signatures' 32-bit hashes, in hex. Likeness is the
-Jaccard index of the signature sets; sets whose lengths alone rule a likeness out are not compared.
+Jaccard index of the signature sets; op6 gives it for each text and its next, so it compares all of these.
 
 ``near_duplicates`` finds all pairs of different fingerprints with a likeness of 0.8 or more: sets are dealt by the
-rarest of their signatures (prefix filter) and by partition of set length, and only survivors are compared.
+rarest of their signatures (prefix filter) and by partition of set length, and only survivors are compared. No query runs it.
 """
 
 from __future__ import annotations
