@@ -2,13 +2,18 @@
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Two fingerprints within the
 radius (4) have a word between them that is within half the radius (2) of both, and two that share such a word are
-within the radius by the triangle inequality. So each fingerprint emits every word within half the radius, and the
-fingerprints that share one are linked to the least of them: exact links, as a star for each word, without pairs.
+within the radius by the triangle inequality. So each fingerprint emits every word within half the radius, and those
+that share one are linked: exact links, as a star for each word, without pairs.
 
 A fingerprint has 2081 such words, so a filter of the same kind comes first, and only fingerprints that may have a
 partner emit them. The bits are cut in three parts; of two fingerprints within 4, some two parts together are within
 2, so the fingerprints share a variant of these 42 or 43 bits with at most one bit flipped. A fingerprint that shares
-none of its 132 variants has no partner. No task pairs the fingerprints that share a variant.
+none of its 132 variants has no partner.
+
+Dense groups are contracted on the way. Of the fingerprints that share a variant of the filter, those within the radius
+of the least are united with it at once; after that a word stands for the united groups that hold it, not for their
+fingerprints, and links groups only. A word that one group holds alone links nothing, so a group of many near
+copies makes links in proportion to its size.
 """
 
 from __future__ import annotations
@@ -88,15 +93,16 @@ def _masks(spark: SparkSession, masks: list[int]):
 PARTS = (range(21), range(21, 42), range(42, 64))
 
 
-def _shared(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``variants`` (fp, v) dealt by v, and for each v of several fingerprints the least of them; one shuffle serves both."""
+def _shared(variants: DataFrame, node: str) -> DataFrame:
+    """(node, a) for each word ``v`` of ``variants`` that several nodes have: all of them with the least; one shuffle."""
     # the join would add this filter below its own exchange, which then were not the same as the grouping's
     dealt = variants.where("v is not null").repartition("v")
-    return dealt, dealt.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("v", "a")
+    least = dealt.groupBy("v").agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a <> z").select("v", "a")
+    return dealt.join(least, "v").select(node, "a")
 
 
 def suspects(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Those of the distinct fingerprints ``fp`` that share a variant of two parts with another."""
+    """(fp, a): the distinct fingerprints that share a variant of two parts with others, and the least of these."""
     spark = fps.sparkSession
     masks: list[int] = []
     kept = None  # the bits of the parts that a mask's place belongs to
@@ -106,13 +112,12 @@ def suspects(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         masks += ball(bits, radius // 4)
         kept = (F.when if kept is None else kept.when)(F.col("k") < len(masks), keep)
     variants = fps.select("fp", F.posexplode(_masks(spark, masks)).alias("k", "m")).select("fp", F.col("fp").bitwiseAND(kept).bitwiseXOR(F.col("m")).alias("v"))
-    dealt, shared = _shared(variants)
     # an inner join: a left semi join would be pushed below the exchange
-    return dealt.join(shared, "v").select("fp").distinct()
+    return _shared(variants, "fp").distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints within ``radius``: a star for each shared variant.
+    """Links (a, b) between distinct fingerprints, each within ``radius`` or between members of groups that are joined so.
 
     Two fingerprints are in one component of these links just if they are in one component of all pairs within
     the radius.
@@ -120,9 +125,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 4:
         raise ValueError("the filter's parts are made for a radius of four")
     spark = fps.sparkSession
-    some = c.checkpointed(suspects(fps, radius))
-    dealt, shared = _shared(some.select("fp", F.explode(_masks(spark, ball(range(64), radius // 2))).alias("m")).select("fp", F.expr("fp ^ m").alias("v")))
-    return dealt.join(shared, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    met = c.checkpointed(suspects(fps, radius))
+    stars = components(met.where((F.col("fp") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= radius)).select("a", F.col("fp").alias("b")))
+    grouped = c.checkpointed(met.select("fp").distinct().join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    words = grouped.select("root", F.explode(_masks(spark, ball(range(64), radius // 2))).alias("m"), "fp").select("root", F.expr("fp ^ m").alias("v"))
+    across = _shared(words, "root").where("root <> a").select("a", F.col("root").alias("b")).distinct()
+    return grouped.where("root <> fp").select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(across)
 
 
 def components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
@@ -145,6 +153,10 @@ def components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+#: Rows of one fingerprint beyond which its rows are dealt to several tasks.
+HOT_ROWS = 20_000
+
+
 def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: its id, fingerprint (16 hex digits) and component_id.
 
@@ -153,13 +165,20 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id are kept; a component of such rows alone has no id.
     """
     prints = c.checkpointed(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    least = c.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = c.checkpointed(components(links(least.select("fp"), radius)))
-    of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
-    # after the grouping above fp is unique on this side, and a hot fp is one row of it
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each = c.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    # nodes in the order of their least ids, those without an id last, so that a component's least node names it
+    node = F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "fp").alias("node")
+    nodes = each.select("fp", node)
+    edges = links(each.select("fp"), radius)
+    edges = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
+    roots = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    named = each.join(roots.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("first")).when(~F.col("root.none"), F.col("root.first")).alias("component_id"))
+    # rows of a hot fingerprint go to as many tasks as they need; there are few such, of at least HOT_ROWS rows each
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    hot = each.where(F.col("n") > HOT_ROWS).select("fp", parts.alias("parts"))
+    dealt = prints.join(F.broadcast(hot), "fp", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int"))
+    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT_ROWS, parts - 1).otherwise(F.lit(0)))))
+    return dealt.join(named, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,3 +243,16 @@ def test_rules_compile_to_the_same_scores(spark):
     rows = {r.doc_id: r for r in rules.score(table, model).collect()}
     assert len(rows) == len(texts) + len(ODD) and all(0 <= r.score <= 1 for r in rows.values())
     assert sum(rows[k].predicted == k % 2 for k in range(120)) >= 118
+
+
+def test_a_dense_group_makes_links_in_proportion(spark):
+    rng = random.Random(8)
+    counts = []
+    for size in (200, 800):
+        centre = rng.getrandbits(64)
+        fps = {simhash._signed(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))) for _ in range(size)}
+        found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).distinct()
+        counts.append(found.count() / len(fps))
+        roots = simhash.components(found).groupBy("root").count().collect()
+        assert len(roots) == 1 and roots[0]["count"] == len(fps)
+    assert max(counts) < 4
