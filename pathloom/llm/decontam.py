@@ -1,10 +1,12 @@
-"""Benchmark decontamination: windows of benchmark words looked up in every document.
+"""Benchmark decontamination: token windows of every document against a broadcast hash set of benchmark windows.
 
-The windows of the test items are held in a broadcast hash set, keyed by the longest word of each window. A
-document is read as one set of words; only where it shares a key word with the set is it searched at that word's
-places, and every hit is an equality of all the window's words. The set is cut in blocks of at most
-``WINDOWS_A_BLOCK`` windows, so what is broadcast has a bound; each further block is one more pass over the same
-rows, which adds its hits to those found before.
+The hash set is a sorted array of the 64-bit hashes of all windows of the test items' normalised words, with the
+place that each comes from. A document's windows of the same lengths are hashed by prefix sums over its bytes
+and looked up, first in a bitmap; each hit is verified word by word against its item, so no result rests on a hash.
+
+The set is cut in blocks of at most ``WINDOWS_A_BLOCK`` windows, so what is broadcast has a bound. One block is
+looked up as the rows stream by. Of several, each has a pass of its own over the texts, whose hits are written to the
+shared folder before its broadcast is destroyed; the hits of all passes are then joined to the rows by their texts' hash.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,47 +29,108 @@ LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 #: For the bytes of UTF-8: A-Z to a-z, and a blank for each ASCII character that is no part of a word.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 WINDOW = 13
-WINDOWS_A_BLOCK = 200_000
-
-#: key word -> place of it in the window and length of the window -> windows -> numbers of their items
-Index = dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], list[int]]]]
+WINDOWS_A_BLOCK = 1_000_000
+BITMAP_BITS = 22
+#: Odd bases of the hashes of words (over bytes) and of windows (over words), and their inverses modulo 2 ** 64.
+BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+INVERSES = [np.uint64(pow(int(x), -1, 1 << 64)) for x in BASES]
 
 
 def words(text: str | None) -> list[bytes]:
     """The normalised words of a text, runs of ``WORD`` in UTF-8; none of null."""
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
+    return folded(text).split()
+
+
+def folded(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(FOLD) if text else b""
+
+
+@dataclass
+class Index:
+    """Windows of some items: sorted hashes, and for each the place (word of ``held``) and item that it comes from."""
+
+    held: list[list[bytes]]
+    numbers: list[int]
+    sizes: list[int]
+    hashes: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    bitmap: np.ndarray
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of the values, whatever its place: prefix sums, moved back by the inverse of the base."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(BASES[k], len(values)), dtype=np.uint64, out=sums[1:])
+    return (sums[ends] - sums[starts]) * _powers(INVERSES[k], len(values) + 1)[starts]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of folded bytes, and a hash of it."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = data != 32
+    steps = np.diff(inside)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    got = _runs(data.astype(np.uint64), starts, ends, 0)
+    got ^= got >> np.uint64(29)
+    return starts, ends, got * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64)
+
+
+def window_hashes(of_words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive words."""
+    first = np.arange(len(of_words) - size + 1)
+    return _runs(of_words, first, first + size, 1) if len(first) else np.zeros(0, np.uint64)
 
 
 def index_of(items: list[tuple[int, list[bytes]]], size: int = WINDOW) -> Index:
-    """The windows of some items, by their longest word (of equals the first)."""
-    index: Index = {}
-    for number, ws in items:
-        for i in range(max(1, len(ws) - size + 1) if ws else 0):
-            window = tuple(ws[i : i + size])
-            at = max(range(len(window)), key=lambda k: (len(window[k]), -k))
-            numbers = index.setdefault(window[at], {}).setdefault((at, len(window)), {}).setdefault(window, [])
-            if number not in numbers:
-                numbers.append(number)
-    return index
+    """The windows of some items, given as numbers and words; an item of fewer words than a window is one window."""
+    found: list[tuple[np.ndarray, int]] = []
+    sizes = set()
+    for _, ws in items:
+        n = min(size, len(ws))
+        sizes.add(n)
+        found.append((window_hashes(word_hashes(b" ".join(ws))[2], n) + np.uint64(n), n) if n else (np.zeros(0, np.uint64), 0))
+    hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+    item = np.repeat(np.arange(len(found), dtype=np.int32), [len(h) for h, _ in found])
+    start = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in found]) if found else np.zeros(0, np.int32)
+    order = np.argsort(hashes, kind="stable")
+    bitmap = np.zeros(1 << BITMAP_BITS, bool)
+    bitmap[hashes >> np.uint64(64 - BITMAP_BITS)] = True
+    return Index([ws for _, ws in items], [n for n, _ in items], sorted(sizes - {0}), hashes[order], item[order], start[order], bitmap)
 
 
-def hits(ws: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
-    """Spans of words covered by windows of the index (merged, in order), and the items that these come from."""
-    present = set(ws)
+def scan(raw: bytes, index: Index) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """Words of the folded bytes, spans of words that windows cover (merged, in order), and the items these come from."""
+    starts, ends, of_words = word_hashes(raw)
     found: list[tuple[int, int]] = []
     items: set[int] = set()
-    for word in index.keys() & present:
-        # of the windows with this key word, those whose words are all in the document
-        likely = {at: some for at, windows in index[word].items() if (some := {w: n for w, n in windows.items() if present.issuperset(w)})}
-        place = -1
-        for _ in range(ws.count(word) if likely else 0):
-            place = ws.index(word, place + 1)
-            for (at, size), windows in likely.items():
-                start = place - at
-                if start >= 0 and (numbers := windows.get(tuple(ws[start : start + size]))):
-                    found.append((start, start + size))
-                    items.update(numbers)
-    return merged(found), items
+    for size in index.sizes:
+        hashes = window_hashes(of_words, size) + np.uint64(size)
+        likely = np.flatnonzero(index.bitmap[hashes >> np.uint64(64 - BITMAP_BITS)])
+        if not len(likely):
+            continue
+        low = np.searchsorted(index.hashes, hashes[likely], "left")
+        high = np.searchsorted(index.hashes, hashes[likely], "right")
+        for at, i, j in zip(likely[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+            window = [raw[starts[k] : ends[k]] for k in range(at, at + size)]
+            for place in range(i, j):
+                k, first = int(index.item[place]), int(index.start[place])
+                if index.held[k][first : first + size] == window:
+                    found.append((at, at + size))
+                    items.add(index.numbers[k])
+    return len(starts), merged(found), items
+
+
+def hits(ws: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
+    """Spans of words covered by windows of the index (merged, in order), and the items that these come from."""
+    return scan(b" ".join(ws), index)[1:]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,60 +180,72 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     clean; an item without words is in no document; items of one id count once, and one without an id not at all.
     Every row is kept, repeated ones too. Columns of ``docs`` that are named as the new ones are replaced.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     new = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"} | ({clean: "string"} if clean else {})
     docs = docs.select(*[x for x in docs.columns if x.lower() not in {n.lower() for n in new}])
-    spans_col, items_col = c.fresh(docs, "hit_spans", "hit_items")
-    rows = docs
     passes = _blocks(items, item_id, item_text, window, windows_a_block)
-    held = next(passes, ([], {}))
-    first = True
-    while held is not None:
-        following = next(passes, None)
-        rows = _pass(rows, held, text_col, spans_col, items_col, first, following is None, new, clean, keep_text, spark)
-        first, held = False, following
-    return rows
-
-
-def _pass(rows, block, text_col, spans_col, items_col, first, last, new, clean, keep_text, spark) -> DataFrame:
-    """One block's hits added to each row; the last pass makes the result columns of them."""
-    sent = spark.sparkContext.broadcast(block)
-    at = rows.columns.index(text_col)
-    base = [x for x in rows.columns if x not in (spans_col, items_col) and (keep_text or not last or x != text_col)]
-    places = [rows.columns.index(x) for x in base]
-    before = None if first else (rows.columns.index(spans_col), rows.columns.index(items_col))
-    fields = [f for f in rows.schema.fields if f.name in base]
-    if last:
-        schema = T.StructType(fields)
-        for name, kind in new.items():
-            schema = schema.add(name, T.DataType.fromDDL(kind))
-    else:
-        schema = T.StructType(fields).add(spans_col, T.ArrayType(T.LongType())).add(items_col, T.ArrayType(T.StringType()))
-    names = schema.fieldNames()
+    block, following = next(passes, ([], index_of([]))), next(passes, None)
+    if following is None:
+        sent = context.broadcast(block)
+        return _finished(docs, text_col, new, keep_text, lambda raw, _: _named(raw, sent.value))
+    key, spans_col, items_col = c.fresh(docs, "text_hash", "hit_spans", "hit_items")
+    hashed = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    found = None
+    while block is not None:
+        sent = context.broadcast(block)
+        some = c.checkpointed(_hit_texts(docs.select(F.col(text_col).alias("text")), sent).groupBy("h").agg(F.first("s").alias("s"), F.first("i").alias("i")))
+        sent.destroy()
+        found = some if found is None else found.unionByName(some)
+        block, following = following, next(passes, None) if following else None
+    # a row a block for each text
+    found = found.groupBy("h").agg(F.flatten(F.collect_list("s")).alias(spans_col), F.array_distinct(F.flatten(F.collect_list("i"))).alias(items_col)).withColumnRenamed("h", key)
+    joined = docs.withColumn(key, hashed).join(found, key, "left").drop(key)
+    return _finished(joined, text_col, new, keep_text, lambda raw, old: (len(raw.split()), merged(list(zip(old[0][::2], old[0][1::2], strict=True))) if old[0] else [], set(old[1] or [])), spans_col, items_col)
+
+
+def _named(raw: bytes, block: tuple[list[str], Index]) -> tuple[int, list[tuple[int, int]], set[str]]:
+    n, spans, numbers = scan(raw, block[1])
+    return n, spans, {block[0][k] for k in numbers}
+
+
+def _hit_texts(texts: DataFrame, sent) -> DataFrame:
+    """(h, s, i) for each row with hits: its text's hash, the spans one after the other, and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_names, index = sent.value
         for batch in batches:
             out = []
-            texts = batch.column(at).to_pylist()
-            old = zip(*(batch.column(i).to_pylist() for i in before), strict=True) if before else ((None, None) for _ in texts)
-            for text, (old_spans, old_items) in zip(texts, old, strict=True):
-                ws = words(text)
-                spans, numbers = hits(ws, index)
-                found = {item_names[n] for n in numbers}
-                if old_spans:
-                    spans = merged([*spans, *zip(old_spans[::2], old_spans[1::2], strict=True)])
-                    found.update(old_items)
-                if not last:
-                    out.append(([x for s in spans for x in s], sorted(found)))
-                    continue
-                n_hit = sum(e - s for s, e in spans)
-                row = (len(ws), n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(ws))
-                out.append((*row, without(text, spans) if text else text) if clean else row)
-            made = [pa.array(x) for x in zip(*out, strict=True)] if out else []
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()] if last else [pa.list_(pa.int64()), pa.list_(pa.string())]
-            if out:
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(x.cast(k) for x, k in zip(made, kinds, strict=False))], names)
+            for text in batch.column(0).to_pylist():
+                _, spans, names = _named(folded(text), sent.value)
+                if spans:
+                    out.append((hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), [x for s in spans for x in s], sorted(names)))
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["h", "s", "i"])
+
+    return texts.mapInArrow(run, "h string, s array<bigint>, i array<string>")
+
+
+def _finished(rows: DataFrame, text_col: str, new: dict[str, str], keep_text: bool, find, *old_cols: str) -> DataFrame:
+    """``rows`` with the result columns; ``find`` gives words, spans and items of folded bytes and the ``old_cols``."""
+    at, olds = rows.columns.index(text_col), [rows.columns.index(x) for x in old_cols]
+    places = [k for k, x in enumerate(rows.columns) if x not in old_cols and (keep_text or x != text_col)]
+    schema = T.StructType([rows.schema.fields[k] for k in places])
+    for name, kind in new.items():
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    names = schema.fieldNames()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()][: len(new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1_000):  # few texts are strings of Python at a time
+                batch = whole.slice(first, 1_000)
+                out = []
+                old = zip(*(batch.column(k).to_pylist() for k in olds), strict=True) if olds else ((),) * batch.num_rows
+                for text, before in zip(batch.column(at).to_pylist(), old, strict=True):
+                    n, spans, items = find(folded(text), before)
+                    n_hit = sum(e - s for s, e in spans)
+                    row = (n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n)
+                    out.append((*row, without(text, spans) if text else text) if len(new) > len(row) else row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names)
 
     return rows.mapInArrow(run, schema)
 
