@@ -2,11 +2,15 @@
 
 The parser streams a page's events into blocks (a block element begins and ends one). Elements that never hold the
 article (navigation, page headers and footers, asides, forms, scripts, styles, and those whose class, id or role
-names a menu, advert, notice, comment and so on) are left out as they stream by. Of the rest, each block is a line
-with a text-to-tag ratio: its characters outside links over its tags. The ratios are smoothed with a Gaussian, lines
-over a threshold (a share of the ratios' deviation) form clusters, and the clusters select the content region: the
-article or main element if the page has one, else the smallest element around the elements of all clustered lines. All
-blocks of the region come out in page order, so short ones between long ones stay.
+names a menu, advert, notice, comment and so on) are left out as they stream by; a name that only hints at such a part
+makes its blocks doubtful. Of the rest, each block is a line with a text-to-tag ratio: its characters outside links over
+its tags. The ratios are smoothed with a Gaussian, and runs of lines over a threshold (a share of the ratios' deviation)
+are clusters; those with little text beside the largest do not count. The clusters select the content region: the
+smallest element around all of them. The article and main tags are boundaries of it only: a region inside one grows to
+the whole of it, and one around several shrinks to those that hold most of the clustered text.
+
+All blocks of the region come out in page order, so short ones between long ones stay. Ratios decide about the others:
+doubtful blocks outside all clusters go, and in a region without article or main so do lines of links outside them.
 """
 
 from __future__ import annotations
@@ -30,8 +34,12 @@ CHROME = frozenset("nav footer aside form menu dialog search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article section main body div aside nav footer header form".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|replies|responses|respond|footer|foot|masthead|topbar|toolbar|header|pagination|pager|tags|skip|copyright|disclaimer|alert)(?=$|[\s_-])", re.IGNORECASE)
-REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|responses?|widget|promo|advert\w*|sponsor\w*|ads?)(?=$|[\s_-])", re.IGNORECASE)
+#: Names (whole words of class and id, or their first or last part) of what is left out, and those that are so only as a whole
+#: word or beside a part of ``PARTS``; as any other part they make a block doubtful.
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar widget widgets comment comments commentlist disqus footer masthead topbar toolbar pagination pager notice notices".split())
+VAGUE = frozenset("related recommend recommended recommendations share sharing social side aside replies reply responses response respond foot header tags skip copyright disclaimer alert alerts".split())
+PARTS = frozenset("articles posts stories items links list box bar block section area panel container wrap wrapper buttons button icons widget content text message region".split())
+REPLY = frozenset("comment comments reply replies response responses widget promo advert adverts advertisement sponsor sponsored ad ads".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A tag that the end of the page cuts off.
 CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
@@ -40,45 +48,66 @@ LONG_NUMBER = re.compile(r"&#(?=[0-9]{8})0*([0-9]+)")
 KEPT_REGIONS = frozenset(["article", "main", "body", "html"])
 
 
+def left_out(value: str) -> float:
+    """Of a class or id: 1 if it names what is left out, 0.5 if a part of it hints at that, else 0."""
+    doubt = 0.0
+    for word in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        if not parts:
+            continue
+        if word in VAGUE or parts[0] in NAMES or parts[-1] in NAMES or len(parts) > 1 and set(parts) <= VAGUE | PARTS and not VAGUE.isdisjoint(parts):
+            return 1.0
+        if not (VAGUE | NAMES).isdisjoint(parts):
+            doubt = 0.5
+    return doubt
+
+
 class _Blocks(HTMLParser):
-    """Events to blocks: (text, tags, characters in links, path of the open elements' numbers)."""
+    """Events to blocks: (text, tags, characters in links, number of the innermost open block element, whether doubtful)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, left out
+        self.open: list[tuple[str, int, float]] = []  # name, number, how far left out
         self.names: list[str] = []  # name by number
         self.parents: list[int] = []
-        self.blocks: list[tuple[str, int, int, int]] = []
+        self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.hidden = self.links = self.article = 0
+        self.tags = self.linked = self.hidden = self.doubt = self.links = self.article = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, self.linked, next((n for name, n, _ in reversed(self.open) if name in BLOCKS), -1)))
+                self.blocks.append((text, self.tags, self.linked, next((n for name, n, _ in reversed(self.open) if name in BLOCKS), -1), self.doubt > 0))
             self.parts = []
         self.tags = self.linked = 0
 
-    def _chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        """1 if the element is left out, 0.5 if it is doubtful, else 0."""
         if tag in SILENT or tag in CHROME or tag == "header" and not self.article:
-            return True
+            return 1.0
         if not attrs or tag in KEPT_REGIONS and tag != "article":
-            return False
+            return 0.0
         if tag == "article":  # readers' comments are often articles of their own
-            return any(name in ("class", "id") and value and REPLY.search(value) for name, value in attrs)
+            words = {w for name, value in attrs if name in ("class", "id") and value for w in value.lower().split()}
+            return float(any(w in REPLY or re.split(r"[-_]+", w)[0] in REPLY for w in words))
+        found = 0.0
         for name, value in attrs:
-            if name in ("class", "id") and value and NAMES.search(value) or name == "role" and value in ROLES:
-                return not (self.article and tag in ("header", "h1", "h2", "h3", "p"))
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
-                return True
-        return False
+                return 1.0
+            if name in ("class", "id") and value:
+                found = max(found, left_out(value))
+            elif name == "role" and value in ROLES:
+                found = 1.0
+        return 0.0 if found and self.article and tag in ("header", "h1", "h2", "h3", "p") else found
 
     def _pop(self) -> None:
-        name, _, left_out = self.open.pop()
+        name, _, out = self.open[-1]
         if name in BLOCKS:
             self.flush()
-        self.hidden -= left_out
+        self.open.pop()
+        self.hidden -= out == 1
+        self.doubt -= out == 0.5
         self.links -= name == "a"
         self.article -= name == "article" or name == "main"
 
@@ -107,11 +136,12 @@ class _Blocks(HTMLParser):
                         break
             elif tag == "body" and self.open and self.open[-1][0] == "head":
                 self._pop()
-        left_out = self._chrome(tag, attrs)
+        out = self._chrome(tag, attrs)
         self.parents.append(self.open[-1][1] if self.open else -1)
-        self.open.append((tag, len(self.names), left_out))
+        self.open.append((tag, len(self.names), out))
         self.names.append(tag)
-        self.hidden += left_out
+        self.hidden += out == 1
+        self.doubt += out == 0.5
         self.links += tag == "a"
         self.article += tag == "article" or tag == "main"
 
@@ -147,10 +177,31 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> str:
+def clusters(ratios: list[float], sizes: list[int], *, share: float, least: float) -> list[list[int]]:
+    """Runs of lines whose ratios reach ``share`` of their standard deviation, each with ``least`` of the largest's text.
+
+    Lines without text of their own, which smoothing alone lifts, do not begin or end a run.
+    """
+    mean = sum(ratios) / len(ratios)
+    limit = share * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    runs: list[list[int]] = []
+    for i, ratio in enumerate(ratios):
+        if ratio >= limit:
+            if runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    held = [[i for i in run if sizes[i]] for run in runs]
+    runs = [run[run.index(some[0]) : run.index(some[-1]) + 1] for run, some in zip(runs, held, strict=True) if some]
+    weights = [sum(sizes[i] for i in run) for run in runs]
+    return [run for run, w in zip(runs, weights, strict=True) if w >= least * max(weights)]
+
+
+def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5, least: float = 0.05) -> str:
     """The main text of a page, its blocks joined by line feeds; empty for null, empty and textless pages.
 
-    ``share`` of the ratios' standard deviation is the threshold over which a line is content.
+    ``share`` of the ratios' standard deviation is the threshold over which a line is content; clusters with under
+    ``least`` of the text of the largest do not select the region.
     """
     if not html:
         return ""
@@ -171,29 +222,33 @@ def main_text(html: str | None, *, sigma: float = 1.0, share: float = 0.5) -> st
             number = parser.parents[number]
         return out
 
-    ratios = smoothed([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in blocks], sigma)
-    mean = sum(ratios) / len(ratios)
-    limit = share * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    sizes = [max(0, len(text) - linked) for text, _, linked, _, _ in blocks]
+    ratios = smoothed([size / max(1, block[1]) for size, block in zip(sizes, blocks, strict=True)], sigma)
+    content = {i for run in clusters(ratios, sizes, share=share, least=least) for i in run}
     weight: dict[int, int] = {}
-    total = 0
     shared: list[int] | None = None  # from the root down, the elements that hold all lines of content
-    for (text, _, linked, number), ratio in zip(blocks, ratios, strict=True):
-        if ratio >= limit:
-            size = max(0, len(text) - linked)
-            total += size
-            for n in path(number):
-                weight[n] = weight.get(n, 0) + size
-            above = path(number)[::-1]
-            shared = above if shared is None else [n for n, m in zip(shared, above) if n == m]
-    for kinds in (("article",), ("main",)):
-        named = [n for n, name in enumerate(parser.names) if name in kinds and weight.get(n)]
+    for i in sorted(content):
+        above = path(blocks[i][3])[::-1]
+        for n in above:
+            weight[n] = weight.get(n, 0) + sizes[i]
+        shared = above if shared is None else [n for n, m in zip(shared, above) if n == m]
+    total = sum(sizes[i] for i in content)
+    bounded = True
+    for kind in ("article", "main"):
+        named = {n for n, name in enumerate(parser.names) if name == kind and n in weight}
         # articles side by side are one region; one inside another is part of it
-        if named and 2 * sum(weight[n] for n in named if not set(path(n)[1:]) & set(named)) >= total:
-            chosen = set(named)
+        if named and 2 * sum(weight[n] for n in named if named.isdisjoint(path(n)[1:])) >= total:
+            chosen = named
             break
     else:
-        chosen = set(shared[-1:]) if shared else set()
-    return "\n".join(text for text, _, _, number in blocks if not chosen or chosen.intersection(path(number)))
+        chosen, bounded = set(shared[-1:]) if shared else set(), False
+    out = []
+    for i, (text, _, linked, number, doubtful) in enumerate(blocks):
+        if chosen and chosen.isdisjoint(path(number)):
+            continue
+        if i in content or not doubtful and (bounded or 2 * linked <= len(text)):
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out: tuple[str, str] = ("text", "n_chars")) -> DataFrame:
