@@ -18,14 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own;
+    on a cluster this fails, as executors on other machines would not see a folder of the driver's.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] == "local":
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def labelled(docs: DataFrame, labels: DataFrame, conflict, *, id_col: str, text_col: str, label_col: str, rows_a_label: int) -> DataFrame:
+    """(i, y, t): a bounded sample of labelled documents, of each label 0 and 1 the ``rows_a_label`` with the least hash of their id.
+
+    Of an id's labels ``conflict`` (an aggregate) picks one, and of its documents the one with the least text counts, so
+    repeated rows do not make the sample grow.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(conflict(label_col).cast("int").alias("y"))
+    picked = [tuple(r) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows_a_label).collect()]
+    few = F.broadcast(docs.sparkSession.createDataFrame(picked, known.schema))
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(few, "i").groupBy("i", "y").agg(F.min("t").alias("t"))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

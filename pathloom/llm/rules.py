@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -152,15 +152,13 @@ def _lasso(a: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, rounds:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_a_label: int = SAMPLE_ROWS) -> Model:
     """The model of a bounded sample of labelled rows, of each label those with the least hash of their id.
 
-    Ids with several labels take the least; a null label is none. Without labels, or with one kind alone, the score
+    Ids with several labels take the least; a null label is none; of several texts of an id the least counts. Without labels, or with one kind alone, the score
     is a constant.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    picked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= rows_a_label).select("i", "y")
     stats = statistics(F.col("t"))
-    # at most rows_a_label rows of each of two labels
-    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i")
+    some = c.labelled(docs, labels, F.min, id_col=id_col, text_col=text_col, label_col=label_col, rows_a_label=rows_a_label)
     rows = sorted(some.select("y", "i", *[v.cast("double").alias(k) for k, v in stats.items()]).collect(), key=lambda r: (r["i"], tuple(r)))
     x = np.array([list(r)[2:] for r in rows]).reshape(-1, len(stats))
     total = sum(counts.values())

@@ -1,18 +1,20 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Texts are cut in units: words without their marks and digits, and runs of single letters joined to one. The kernel
-of two units counts the letter triples that both have as subsequences, with the gaps of each triple weighed down by
-``DECAY`` a letter, so that an insult with letters inserted stays close to the insult. The feature map of a unit is its
-kernel with some landmark units, whitened (Nyström); a linear support vector machine on it separates insulting units.
-
-Labels are of documents, so training is by multiple instances: a toxic document brings the units with letter runs
-that are typical of toxic documents; one without any brings its worst unit by the machine of the round before. Clean
-documents bring units at random and, after the first round, those that the machine takes for insults. A text's
-score is that of its worst unit.
+Texts are cut in units: words without their marks, with digits as wild letters, and runs of single letters joined to one.
+The kernel of two units counts the letter triples that both have as subsequences, with the gaps of each triple weighed
+down by ``DECAY`` a letter, over both units' norms, so that an insult with letters inserted stays close to the insult.
+The feature map of a unit is its kernel with some landmark units, whitened (Nyström); a linear support vector machine
+on it separates insulting units. It also learns from virtual examples of insults: with any letters inserted, one
+doubled, or one replaced by a wild letter.
+
+Labels are of documents, so training is by multiple instances: a toxic document shares its weight among its units that
+have letter runs typical of toxic documents. Clean documents bring their units that have such runs, units at random and,
+in the second round, those that the machine of the first takes for insults. A text's odds depend on the positive margins
+of its ``TOP`` worst units: one clear insult is enough, and several doubtful ones are, but length alone adds nothing.
 
 A weighted sum of kernels with landmarks is linear in a unit's triples. So the trained machine is folded into one
 table of a weight for each triple, and a unit is scored by looking up its triples: the same values as through the
-landmarks, at the cost of its length.
+landmarks, at the cost of its length. Units are single words: an insult of several harmless words is not seen.
 """
 
 from __future__ import annotations
@@ -27,24 +29,35 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
 
 #: Bound of the training sample: documents of each label, and distinct units of each of them, from its whole text.
 SAMPLE_ROWS, SAMPLE_UNITS = 1_200, 4_000
-LANDMARKS, DECAY, SPAN, ROUNDS = 160, 0.8, 6, 4
-MOST_POSITIVE = 1_500
+LANDMARKS, DECAY, SPAN, ROUNDS = 300, 0.8, 6, 2
+#: Bounds of the units that a machine is fitted on: those taken for insults, virtual examples of a quarter of these, units of
+#: clean documents at random, and those that the round before took for insults; letters that have classes of their own.
+POSITIVE, VIRTUAL, EVERYDAY, HARD, LETTERS = 1_200, 8, 2_500, 1_500, 60
+#: How many times as often a letter run typical of toxic documents is in them as in clean ones.
+TYPICAL = 4.0
+#: Units of a text whose margins count.
+TOP = 5
 THRESHOLD = 0.3
+#: What share of the clean documents flagged weighs as much as the same share of the toxic ones missed, times this;
+#: and by how much a lower cut may be worse than the best.
+CLEAN, NEARLY = 3.0, 0.03
 #: Longest unit: longer ones are scored in overlapping pieces of this length.
 UNIT = 24
 #: Units whose scores a worker remembers.
 MEMORY = 300_000
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
-MARKS = re.compile(r"[\W\d_]+")
+MARKS = re.compile(r"[\W_]+")
 LONG = re.compile(r"(.)\1{2,}")
-EDGE = "^"
+DIGIT = re.compile(r"\d")
+#: The edge of a unit, and a letter that may stand for any.
+EDGE, WILD = "^", "?"
 
 
 def units(text: str | None) -> set[str]:
@@ -69,20 +82,27 @@ def units(text: str | None) -> set[str]:
 
 
 def bare(unit: str) -> str:
-    """The unit's letters; of a letter said three times or more in a row, two."""
-    return LONG.sub(r"\1\1", unit if unit.isalpha() else MARKS.sub("", unit))
+    """The unit's letters, and its digits as ``WILD``; of a letter said three times or more in a row, two."""
+    return LONG.sub(r"\1\1", unit if unit.isalpha() else DIGIT.sub(WILD, MARKS.sub("", unit)))
 
 
 @dataclass
 class Machine:
-    """``table``: the weight of each triple of letter classes; ``slope`` and ``offset`` turn margins into log odds."""
+    """``table``: the weight of each triple of letter classes; ``odds``: the weights of a document's measures (``measures``)."""
 
     letters: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     shift: int = 0
-    slope: float = 1.0
-    offset: float = -4.0
     bias: float = 0.0
+    odds: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, -4.0]))
+
+
+def norm(size: int) -> float:
+    """The kernel's norm of a unit of so many letters, with edges, whose triples are all different."""
+    return math.sqrt(sum(max(0, size + 2 - a - b) * DECAY ** (2 * (a + b - 2)) for a, b in GAPS))
+
+
+NORMS = np.array([1.0, *(norm(n) for n in range(1, UNIT + 1))])
 
 
 def _rows(words: list[str], letters: dict[str, int]) -> np.ndarray:
@@ -115,7 +135,7 @@ def triple_weights(word: str) -> dict[str, float]:
 
 
 def kernel_columns(words: list[str], marks: list[str], letters: dict[str, int], shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernels of words with landmarks (a row a word), the landmarks' feature vectors, and the triples of these columns."""
+    """Normalised kernels of words with landmarks (a row a word), the landmarks' unit vectors, and the triples of these columns."""
     def triples(some: list[str]) -> list[tuple[np.ndarray, float]]:
         return list(_triples(_rows(some, letters), shift))
 
@@ -133,14 +153,15 @@ def kernel_columns(words: list[str], marks: list[str], letters: dict[str, int],
         return out
 
     phi = vectors(held, len(marks))
+    phi /= NORMS[[len(w) for w in marks]][:, None]
     rows = [vectors(triples(words[i : i + 250]), len(words[i : i + 250])) @ phi.T for i in range(0, len(words), 250)]
-    return np.concatenate(rows), phi, columns
+    return np.concatenate(rows) / NORMS[[len(w) for w in words]][:, None], phi, columns
 
 
 def kernel(a: str, b: str) -> float:
-    """The kernel of two units, by its definition."""
+    """The normalised kernel of two units, by its definition."""
     x, y = triple_weights(a), triple_weights(b)
-    return sum(v * y.get(k, 0.0) for k, v in x.items())
+    return sum(v * y.get(k, 0.0) for k, v in x.items()) / (norm(len(a)) * norm(len(b)))
 
 
 def pieces(word: str) -> list[str]:
@@ -160,7 +181,7 @@ def margins(machine: Machine, words: list[str]) -> np.ndarray:
         total = np.zeros(len(some), np.float32)
         for triple, weight in _triples(rows, machine.shift):
             total += weight * np.take(machine.table, triple, mode="clip").sum(1)
-        values[some] = total
+        values[some] = total / NORMS[[len(flat[i]) for i in some]]
     firsts = np.cumsum([0, *map(len, cut)])[:-1]
     return np.maximum.reduceat(values, firsts) + machine.bias if len(flat) else values
 
@@ -181,34 +202,44 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
+def _runs_of(word: str) -> set[str]:
+    """The letter runs (3 to 6 letters, edges count) of a unit."""
+    s = EDGE + word[:UNIT] + EDGE
+    return {s[i : i + n] for n in (3, 4, 5, 6) for i in range(len(s) - n + 1)}
+
+
 def _speaking(bags: list[tuple[set[str], int]]) -> set[str]:
-    """Units of toxic documents, and of no clean one, that have a letter run typical of toxic documents.
+    """Units of toxic documents that have a letter run typical of toxic documents.
 
-    A run (3 to 6 letters, edges count) is typical if the documents that have it are toxic more often than chance
+    A run is typical if it is in ``TYPICAL`` times as many of the toxic documents as of the clean, and more than chance
     explains: by its likelihood ratio, beyond what the best of so many runs would show.
     """
-    def runs_of(words: set[str]) -> set[str]:
-        return {s[i : i + n] for w in words for s in (EDGE + w[:UNIT] + EDGE,) for n in (3, 4, 5, 6) for i in range(len(s) - n + 1)}
-
+    held: dict[str, set[str]] = {}
+    for words, _ in bags:
+        for w in words:
+            if w not in held:
+                held[w] = _runs_of(w)
     toxic: Counter = Counter()
     for words, label in bags:
         if label:
-            toxic.update(runs_of(words))
+            toxic.update(set().union(*(held[w] for w in words)))
     limit = 2 * math.log(max(2, len(toxic))) + 4
     toxic = Counter({r: k for r, k in toxic.items() if k >= 3})  # what is rarer can't pass the limit
+    known = toxic.keys()
     clean: Counter = Counter()
     for words, label in bags:
         if not label:
-            clean.update(toxic.keys() & runs_of(words))
+            clean.update(known & set().union(*(held[w] for w in words)))
     share = sum(label for _, label in bags) / len(bags)
     typical = set()
     for r, k in toxic.items():
         n = k + clean[r]
+        if k * (1 - share) < TYPICAL * share * clean[r]:
+            continue
         ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
-        if ratio > limit and k / n > 0.8:
+        if ratio > limit:
             typical.add(r)
-    known = {w for words, label in bags if not label for w in words}
-    return {w for words, label in bags if label for w in words if w not in known and not typical.isdisjoint(runs_of({w}))}
+    return {w for words, label in bags if label for w in words if not typical.isdisjoint(held[w])}
 
 
 def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
@@ -218,70 +249,102 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, roun
 
 def bag(text: str | None, most: int | None = None) -> set[str]:
     """The bare units of a whole text that have letters to compare; of more than ``most`` those with the least hash."""
-    out = {b for u in units(text) if (b := bare(u)) and len(b) > 1}
+    out = {b for u in units(text) if spoken(b := bare(u))}
     if most is None or len(out) <= most:
         return out
     return set(sorted(out, key=lambda w: (crc32(w.encode("utf-8", "surrogatepass")), w))[:most])
 
 
+def spoken(word: str) -> bool:
+    """Whether a bare unit has more than one letter."""
+    return len(word) - word.count(WILD) > 1
+
+
 def fit_bags(bags: list[tuple[set[str], int]], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
     """The machine of labelled texts, each as the set of its bare units."""
-    toxic = [words for words, label in bags if label and words]
-    clean = [words for words, label in bags if not label and words]
-    if not toxic or not clean:
+    bags = [(words, label) for words, label in bags if words]
+    if len({label for _, label in bags}) < 2:
         return Machine()
+    machine = _machine(bags, landmarks, rounds, seed)
+    measured = np.array([measures(np.array(m)) for m in _unit_margins(machine, [words for words, _ in bags])])
+    machine.odds = _calibrate(measured, np.array([label for _, label in bags]))
+    return machine
+
+
+def _unit_margins(machine: Machine, bags: list[set[str]]) -> list[list[float]]:
+    """For each bag the margins of its units."""
+    words = sorted(set().union(*bags)) if bags else []
+    of = dict(zip(words, margins(machine, words).tolist(), strict=True))
+    return [[of[w] for w in bag] for bag in bags]
+
+
+def measures(margin: np.ndarray) -> np.ndarray:
+    """What a document's odds depend on: its largest margin, and the evidence of its ``TOP`` largest together, if positive.
+
+    Neither grows with a text's length unless it holds further units that the machine takes for insults.
+    """
+    top = np.sort(margin)[::-1][:TOP]
+    return np.array([min(0.0, float(top[0])), float(np.clip(top, 0, 2).sum())])
+
+
+def _machine(bags: list[tuple[set[str], int]], landmarks: int, rounds: int, seed: int) -> Machine:
+    """The machine of some documents, without the weights of their measures."""
     counts = Counter(ch for words, _ in bags for w in words for ch in w)
-    letters = {ch: k + 3 for k, (ch, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:60])}
+    counts.pop(WILD, None)
+    letters = {ch: k + 3 for k, (ch, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
     shift = (len(letters) + 2).bit_length()
+    machine = Machine(letters, shift=shift)
     rng = np.random.default_rng(seed)
     speaking = _speaking(bags)
-    negatives = sorted({w for words in clean for w in words})
-    everyday = [negatives[i] for i in rng.permutation(len(negatives))[:2500]]
-    everything = sorted({w for words in (*toxic, *clean) for w in words})
+    in_clean = Counter(w for words, label in bags if not label for w in words)
     if not speaking:  # too few documents to tell: what is in toxic documents alone
-        speaking = {w for words in toxic for w in words} - set(negatives)
-    often = Counter(w for words in toxic for w in words if w in speaking)
-    positive = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:MOST_POSITIVE]]
-    if not positive:
-        return Machine()
-    rank: dict[str, float] = {}
-    machine = Machine(letters, shift=shift)
-    for _ in range(rounds):
-        hard = sorted(negatives, key=lambda w: -rank[w])[:1500] if rank else []
-        negative = sorted((set(everyday) | set(hard)) - set(positive))
-        marks = sorted({*_spread(positive, 2 * landmarks // 3), *_spread([*hard[:200], *everyday], landmarks // 3)})
-        virtual = [v for w in positive[:400] for v in _loosened(w[:UNIT], rng)]
-        words = [w[:UNIT] for w in [*positive, *virtual, *negative]]
-        k, phi, columns = kernel_columns([*marks, *words], marks, letters, shift)
-        value, vector = np.linalg.eigh(k[: len(marks)])
+        speaking = {w for words, label in bags if label for w in words} - in_clean.keys()
+    if not speaking:
+        return machine
+    # a toxic document shares its weight among the units that speak for it
+    often: Counter = Counter()
+    for words, label in bags:
+        if label and (some := words & speaking):
+            often.update(dict.fromkeys(some, 1 / len(some)))
+    positive = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:POSITIVE]]
+    # units like those that speak for toxicity count against it as often as clean documents have them
+    shared = [w for w, _ in in_clean.most_common() if w in speaking][:HARD]
+    negatives = sorted(in_clean.keys() - speaking)
+    everyday = [negatives[i] for i in rng.permutation(len(negatives))[:EVERYDAY]]
+    hard: list[str] = []
+    virtual = [v for w in positive[: POSITIVE // 4] for v in _loosened(w[: UNIT - 1], rng, letters)]
+    share = np.array([often[w] for w in positive])
+    share = np.r_[share, np.repeat(share[: POSITIVE // 4], VIRTUAL) * (3 / VIRTUAL)]
+    for k in range(rounds):
+        negative = sorted({*everyday, *hard})
+        marks = sorted({*_spread(positive, landmarks // 2), *_spread(virtual, landmarks // 4), *_spread([*hard[:200], *everyday], landmarks // 4)})
+        words = [w[:UNIT] for w in [*positive, *virtual, *shared, *negative]]
+        kernels, phi, columns = kernel_columns([*marks, *words], marks, letters, shift)
+        value, vector = np.linalg.eigh(kernels[: len(marks)])
         some = value > 1e-4 * value[-1]
         whiten = vector[:, some] / np.sqrt(value[some])
-        x = k[len(marks) :] @ whiten
-        y = np.r_[np.ones(len(positive) + len(virtual)), -np.ones(len(negative))]
-        share = np.array([math.sqrt(often[w]) for w in positive])
-        share = np.r_[share, np.repeat(share[:400], 3) / 4]
-        weight = np.r_[0.5 * share / share.sum(), np.full(len(negative), 0.5 / len(negative))]
+        x = kernels[len(marks) :] @ whiten
+        y = np.r_[np.ones(len(positive) + len(virtual)), -np.ones(len(shared) + len(negative))]
+        against = np.array([in_clean[w] for w in shared])
+        weight = np.r_[0.5 * np.r_[share, against] / (share.sum() + against.sum()), np.full(len(negative), 0.5 / len(negative))]
         w, bias = _svm(x, y, weight)
         table = np.zeros(1 << (3 * shift), np.float32)
         table[columns] = phi.T @ (whiten @ w)
         table[0] = 0
-        machine = Machine(letters, table, shift, bias=bias)
-        rank = dict(zip(everything, margins(machine, everything).tolist(), strict=True))
-        # a toxic document that nothing speaks for yet brings its worst unit, if no clean one has it
-        silent = [max(words, key=lambda w: (rank[w], w)) for words in toxic if not words & speaking]
-        positive += sorted(set(silent) - set(positive) - set(negatives))[: max(0, MOST_POSITIVE - len(positive))]
-        often.update(silent)
-    worst = np.array([max(rank[w] for w in words) for words in (*toxic, *clean)])
-    machine.slope, machine.offset = _calibrate(worst, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+        machine = Machine(letters, table, shift, bias)
+        if k + 1 < rounds:
+            worst = margins(machine, negatives)
+            hard = sorted({*hard, *(negatives[i] for i in np.argsort(-worst, kind="stable")[:HARD].tolist())})
     return machine
 
 
-def _loosened(word: str, rng: np.random.Generator) -> list[str]:
-    """Three virtual examples of an insult: a letter doubled, and two with a letter of it inserted elsewhere."""
-    out = []
-    for at in rng.integers(1, max(2, len(word)), 3).tolist():
-        out.append(word[:at] + (word[at - 1] if not out else word[int(rng.integers(len(word)))]) + word[at:])
-    return out
+def _loosened(word: str, rng: np.random.Generator, letters: dict[str, int]) -> list[str]:
+    """``VIRTUAL`` virtual examples of an insult: a letter doubled, two with a wild letter for one, any letters inserted."""
+    some = list(letters) or [WILD]
+    at = rng.integers(1, max(2, len(word)), VIRTUAL).tolist()
+    wild = [word[:k] + WILD + word[k + 1 :] for k in at[1:3]]
+    inserted = [word[:k] + some[int(rng.integers(len(some)))] + word[k:] for k in at[3:]]
+    return [word[: at[0]] + word[at[0] - 1] + word[at[0] :], *wild, *inserted]
 
 
 def _spread(words: list[str], n: int) -> list[str]:
@@ -300,20 +363,32 @@ def _spread(words: list[str], n: int) -> list[str]:
     return out
 
 
-def _calibrate(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of log odds, by Newton's method with a little smoothing."""
+def _calibrate(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Weights of the log odds, the constant last, by Newton's method with a little smoothing."""
     target = np.where(truth > 0, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
-    x = np.c_[margin, np.ones(len(margin))]
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-4 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-4 * (w - [1, 0])), -2, 2)
-    return float(w[0]), float(w[1])
-
-
-def worst_margins(machine: Machine, texts: list[str | None], memory: dict[str, float]) -> np.ndarray:
-    """The largest margin among each text's units; -inf without units."""
+        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - target) + 1e-2 * w)
+        w = w - np.clip(step, -2, 2)
+        if abs(step).max() < 1e-8:
+            break
+    # the least cut that parts toxic from clean documents nearly as well as the best gets the odds of the threshold: a
+    # text with a single insult is rarer than one with several, and lies lower
+    odds = x @ w
+    cuts = np.unique(odds)
+    over = lambda some: 1 - np.searchsorted(np.sort(some), cuts) / max(1, len(some))
+    parted = over(odds[truth > 0]) - CLEAN * over(odds[truth <= 0])
+    best = int(np.argmax(parted >= parted.max() - NEARLY))
+    cut = (cuts[best] + cuts[best - 1]) / 2 if best else cuts[0]
+    w[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - cut
+    return w
+
+
+def scores(machine: Machine, texts: list[str | None], memory: dict[str, float]) -> np.ndarray:
+    """The probability that each text is toxic; 0 without units. ``memory`` keeps margins of units from call to call."""
     bags = [units(t) for t in texts]
     new = [u for u in set().union(*bags) if u not in memory] if bags else []
     if new:
@@ -321,24 +396,29 @@ def worst_margins(machine: Machine, texts: list[str | None], memory: dict[str, f
             memory.clear()
             new = list(set().union(*bags))
         words = [bare(u) for u in new]
-        known = [i for i, w in enumerate(words) if len(w) > 1]
+        known = [i for i, w in enumerate(words) if spoken(w)]
         values = np.full(len(new), -np.inf)
         if known:
             values[known] = margins(machine, [words[i] for i in known])
         memory.update(zip(new, values.tolist(), strict=True))
-    return np.array([max(map(memory.__getitem__, bag), default=-np.inf) for bag in bags])
+    out = np.zeros(len(texts))
+    for i, bag in enumerate(bags):
+        some = np.fromiter(map(memory.__getitem__, bag), float, len(bag))
+        some = some[np.isfinite(some)]
+        if len(some):
+            odds = float(np.clip(measures(some) @ machine.odds[:-1] + machine.odds[-1], -700, 700))
+            out[i] = 1 / (1 + math.exp(-odds))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_a_label: int = SAMPLE_ROWS, units_a_row: int = SAMPLE_UNITS) -> Machine:
     """The machine of a bounded sample of labelled rows, of each label those with the least hash of their id.
 
-    Texts of any length count, each by at most ``units_a_row`` distinct units of the whole of it, cut out by the workers. Ids with several labels take the greatest; a null label is none. Without toxic or without clean rows every
-    score is near 0.
+    Texts of any length count, each by at most ``units_a_row`` distinct units of the whole of it, cut out by the workers.
+    Ids with several labels take the greatest; a null label is none; of several texts of an id the least counts. Without
+    toxic or without clean rows every score is near 0.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
-    picked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= rows_a_label).select("i", "y")
-    # at most rows_a_label rows of each of two labels
-    some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").select("i", "y", "t")
+    some = c.labelled(docs, labels, F.max, id_col=id_col, text_col=text_col, label_col=label_col, rows_a_label=rows_a_label).where("t is not null").select("i", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,9 +446,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshol
         memory: dict[str, float] = {}
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            worst = np.concatenate([worst_margins(machine, texts[i : i + 500], memory) for i in range(0, len(texts), 500)]) if texts else np.zeros(0)
-            odds = np.clip(machine.slope * worst + machine.offset, -700, 700)
-            p = np.where(np.isneginf(worst), 0.0, 1 / (1 + np.exp(-odds)))
+            p = np.concatenate([scores(machine, texts[i : i + 500], memory) for i in range(0, len(texts), 500)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names)
 
     return docs.mapInArrow(run, schema)

@@ -243,6 +243,21 @@ def test_rules_compile_to_the_same_scores(spark):
     rows = {r.doc_id: r for r in rules.score(table, model).collect()}
     assert len(rows) == len(texts) + len(ODD) and all(0 <= r.score <= 1 for r in rows.values())
     assert sum(rows[k].predicted == k % 2 for k in range(120)) >= 118
+    # the rules, evaluated one by one over statistics counted by hand
+    import regex
+
+    def by_hand(text):
+        t = text or ""
+        n = float(max(len(t), 1))
+        ws, lines = regex.split("[ \n\t\r]+", t.lower()), t.split("\n")
+        share = lambda pattern: len(regex.sub(pattern, "", t)) / n
+        return {"log_chars": np.log(n), "word_chars": n / len(ws), "letters": 1 - share(r"\p{L}+"), "capitals": share(r"[^\p{Lu}]+"), "digits": share("[^0-9]+"), "symbols": share(r"""[\p{L}\p{N}\s.,;:'"()-]+"""), "stops": share("[^.!?]+"), "new_words": len(set(ws)) / len(ws), "line_chars": n / len(lines), "new_lines": len(set(lines)) / len(lines)}
+
+    assert model.rules
+    for k, text in enumerate([*texts, *ODD]):
+        stats = by_hand(text)
+        margin = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all((stats[model.names[j]] > bound) == greater for j, greater, bound in rule))
+        assert rows[k].score == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-9)
 
 
 def test_a_dense_group_makes_links_in_proportion(spark):
@@ -256,3 +271,54 @@ def test_a_dense_group_makes_links_in_proportion(spark):
         roots = simhash.components(found).groupBy("root").count().collect()
         assert len(roots) == 1 and roots[0]["count"] == len(fps)
     assert max(counts) < 4
+
+
+def test_repeated_ids_and_conflicting_labels(spark):
+    table = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (1, "a", "x"), (2, "c", "x"), (None, "d", "x"), (3, None, "x")], "doc_id long, text string, Toxic string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 1), (None, 1), (9, 1), (2, 7)], "doc_id long, toxic int")
+    from pathloom.llm import _common
+
+    sample = lambda how, n=9: sorted((r.i, r.y, r.t) for r in _common.labelled(table, labels, how, id_col="doc_id", text_col="text", label_col="toxic", rows_a_label=n).collect())
+    assert sample(F.max) == [(1, 1, "a"), (2, 0, "c"), (3, 1, None)]
+    assert sample(F.min)[:2] == [(1, 0, "a"), (2, 0, "c")]
+    assert len(sample(F.min, 1)) <= 2
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+    assert rules.score(none, rules.train(none, labels)).count() == 0
+    assert langid.identify(none, langid.train(none)).count() == 0
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.decontaminate(none, items).count() == 0
+    assert [r.n_hit for r in decontam.decontaminate(docs(spark, ["a b"]), items).collect()] == [0]
+    assert spotsigs.fingerprints(none).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.format_turns_of(*chat.chains(turns))).count() == 0
+    assert sharding.shard(none).count() == 0
+
+
+def test_phrases_across_blocks():
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    samples = {k: " ".join(word(letters) for _ in range(300)) for k, letters in (("aa", "abcd"), ("bb", "bcdeé"), ("cc", "漢字仮名дж"))}
+    texts = [" ".join(word("abcdeé漢字仮名джz") for _ in range(rng.randint(0, 900))) for _ in range(12)] + [None, "", "!! ab", " ab! ", "7"]
+    old = langid.DENSE
+    try:
+        for langid.DENSE in (128, 2):
+            model = langid.learn(samples)
+            count, size, _ = langid.phrases(texts, model)
+            for t, row, n in zip(texts, count, size):
+                folded = langid.fold(t or "")
+                assert n == len(folded) and row.tolist() == [phrases_by_hand(folded, samples[k]) for k in sorted(samples)]
+    finally:
+        langid.DENSE = old
+
+
+def test_samples_are_bounded_and_whole(spark):
+    rows = [(k, "the quick brown fox jumps " * 50, "en") for k in range(50)] + [(k, "hält der fuchs " * 4000, "de") for k in range(60, 63)] + [(1, "the quick brown fox jumps " * 50, "en")] * 30 + [(99, None, "en"), (98, "123", "xx"), (97, "word", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_lang=5000)
+    assert model.langs == ["de", "en"]
+    lengths = dict(zip(model.langs, (2**model.bits - 1).round().tolist()))
+    assert lengths["en"] <= 5000 and lengths["de"] == len("hält der fuchs " * 4000) - 1
