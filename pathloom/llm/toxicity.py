@@ -154,7 +154,7 @@ def kernel_columns(words: list[str], marks: list[str], letters: dict[str, int],
 
     phi = vectors(held, len(marks))
     phi /= NORMS[[len(w) for w in marks]][:, None]
-    rows = [vectors(triples(words[i : i + 250]), len(words[i : i + 250])) @ phi.T for i in range(0, len(words), 250)]
+    rows = [vectors(triples(words[i : i + 100]), len(words[i : i + 100])) @ phi.T for i in range(0, len(words), 100)]
     return np.concatenate(rows) / NORMS[[len(w) for w in words]][:, None], phi, columns
 
 
@@ -214,32 +214,19 @@ def _speaking(bags: list[tuple[set[str], int]]) -> set[str]:
     A run is typical if it is in ``TYPICAL`` times as many of the toxic documents as of the clean, and more than chance
     explains: by its likelihood ratio, beyond what the best of so many runs would show.
     """
-    held: dict[str, set[str]] = {}
-    for words, _ in bags:
-        for w in words:
-            if w not in held:
-                held[w] = _runs_of(w)
-    toxic: Counter = Counter()
+    numbers: dict[str, int] = {}
+    held = {w: np.array([numbers.setdefault(r, len(numbers)) for r in _runs_of(w)], np.int32) for w in {w for words, _ in bags for w in words}}
+    having = np.zeros((2, len(numbers)))
     for words, label in bags:
-        if label:
-            toxic.update(set().union(*(held[w] for w in words)))
-    limit = 2 * math.log(max(2, len(toxic))) + 4
-    toxic = Counter({r: k for r, k in toxic.items() if k >= 3})  # what is rarer can't pass the limit
-    known = toxic.keys()
-    clean: Counter = Counter()
-    for words, label in bags:
-        if not label:
-            clean.update(known & set().union(*(held[w] for w in words)))
+        having[label, np.unique(np.concatenate([held[w] for w in words]))] += 1
+    clean, toxic = having
     share = sum(label for _, label in bags) / len(bags)
-    typical = set()
-    for r, k in toxic.items():
-        n = k + clean[r]
-        if k * (1 - share) < TYPICAL * share * clean[r]:
-            continue
-        ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
-        if ratio > limit:
-            typical.add(r)
-    return {w for words, label in bags if label for w in words if not typical.isdisjoint(held[w])}
+    some = toxic >= 3  # what is rarer can't pass the limit
+    n, k = (toxic + clean)[some], toxic[some]
+    ratio = 2 * (k * np.log(k / (n * share)) + np.where(n > k, (n - k) * np.log(np.maximum(n - k, 1) / (n * (1 - share))), 0.0))
+    typical = np.zeros(len(numbers), bool)
+    typical[some] = (ratio > 2 * math.log(max(2, np.count_nonzero(toxic))) + 4) & (k * (1 - share) >= TYPICAL * share * clean[some])
+    return {w for words, label in bags if label for w in words if typical[held[w]].any()}
 
 
 def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 0) -> Machine:
