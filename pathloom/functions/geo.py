@@ -9,19 +9,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCALE = 1e7
-EARTH_RADIUS = 6372797.0  # metres
+# Radii in metres, and of the named ellipsoids the semi-major axis in metres and the inverse flattening.
+EARTH_RADIUS = 6372797.0
 MERCATOR_RADIUS = 6378137.0
-#: Semi-major axis in metres and inverse flattening of the reference ellipsoids in common use.
 ELLIPSOIDS = {
-    "WGS84": (6378137.0, 298.257223563),
-    "GRS80": (6378137.0, 298.257222101),
-    "WGS72": (6378135.0, 298.26),
+    "AIRY": (6377563.396, 299.3249646),
+    "AIRY-MODIFIED": (6377340.189, 299.3249646),
+    "AUSTRALIAN": (6378160.0, 298.25),
     "BESSEL-1841": (6377397.155, 299.1528128),
-    "INTERNATIONAL": (6378388.0, 297.0),
+    "BESSEL-1841-NAMIBIA": (6377483.865, 299.152813),
     "CLARKE-1866": (6378206.4, 294.978698),
     "CLARKE-1880": (6378249.145, 293.465),
-    "AIRY": (6377563.396, 299.3249646),
+    "EVEREST-1830": (6377276.345, 300.8017),
+    "EVEREST-1948": (6377304.063, 300.8017),
+    "EVEREST-SABAH-SARAWAK": (6377298.556, 300.8017),
+    "EVEREST-1956": (6377301.243, 300.8017),
+    "EVEREST-1969": (6377295.664, 300.8017),
+    "FISHER-1960": (6378166.0, 298.3),
+    "FISCHER-1960-MODIFIED": (6378155.0, 298.3),
+    "FISHER-1968": (6378150.0, 298.3),
+    "GRS80": (6378137.0, 298.25722210088),
+    "HELMERT-1906": (6378200.0, 298.3),
+    "HOUGH-1956": (6378270.0, 297.0),
+    "HAYFORD": (6378388.0, 297.0),
+    "IAU76": (6378140.0, 298.257),
+    "INTERNATIONAL": (6378388.0, 297.0),
     "KRASSOVSKY-1938": (6378245.0, 298.3),
+    "NAD27": (6378206.4, 294.9786982138),
+    "NWL-9D": (6378145.0, 298.25),
+    "SGS85": (6378136.0, 298.257),
+    "SOUTHAMERICAN-1969": (6378160.0, 298.25),
+    "SOVIET-1985": (6378136.0, 298.257),
+    "WGS60": (6378165.0, 298.3),
+    "WGS66": (6378145.0, 298.25),
+    "WGS72": (6378135.0, 298.26),
+    "WGS84": (6378137.0, 298.257223563),
 }
 UNITS = {"m": 1.0, "ft": 0.3048, "km": 1000.0, "mi": 1609.344, "nm": 1852.0}
 
@@ -35,11 +57,6 @@ def decode(fixed: Column) -> Column:
     return fixed / SCALE
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equality within half a unit of fixed point."""
-    return F.abs(a - b) <= 0.5 / SCALE
-
-
 def delta_lng(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.least(d, 360.0 - d)
@@ -65,36 +82,32 @@ def mercator(lat: Column, lng: Column) -> tuple[Column, Column]:
     return lng * (shift / 180.0), F.log(F.tan((90.0 + lat) * (np.pi / 360.0))) * MERCATOR_RADIUS
 
 
-def next_power_of_two(x: Column) -> Column:
-    return F.when(x <= 0, 0).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(x.cast("double"))))).cast("bigint")
-
-
 def orientation(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column]) -> Column:
     """The turn at q on the way from p to r."""
     s = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
     return F.when(F.abs(s) < 1e-9, "Continue straightforward").when(s > 0, "Turn right").otherwise("Turn left")
 
 
-def hilbert_key(lat: Column, lng: Column, bits: int = 31) -> Column:
-    """Place of a fixed-point coordinate on a Hilbert curve of ``bits`` levels, by a fold over the levels.
+def hilbert_key(lat: Column, lng: Column) -> Column:
+    """Place of a fixed-point coordinate on a Hilbert curve of 32 levels, by a fold over the levels.
 
     At each level the quadrant makes two bits of the key (south-west 0, south-east 1, north-east 2, north-west 3); in the
-    eastern ones the axes are swapped for the next level, in the south-eastern one mirrored too. The lowest bit of a coordinate is dropped so that a key fits a long.
+    eastern ones the axes are swapped for the next level, in the south-eastern one mirrored too. The unsigned key has 64 bits;
+    it is moved by half its range, so that longs compare as the keys do.
     """
-    x0 = F.shiftright(lat.cast("bigint") + 900_000_000, 32 - bits)
-    y0 = F.shiftright(lng.cast("bigint") + 1_800_000_000, 32 - bits)
+    x0, y0 = lat.cast("bigint") + 900_000_000, lng.cast("bigint") + 1_800_000_000
     start = F.struct(x0.alias("x"), y0.alias("y"), F.lit(0).cast("bigint").alias("k"))
-    full = (1 << bits) - 1
+    full = (1 << 32) - 1
 
     def step(s: Column, m: Column) -> Column:
         rx, ry = s["x"].bitwiseAND(m) > 0, s["y"].bitwiseAND(m) > 0
         q = F.when(rx & ry, 2).when(rx, 3).when(ry, 1).otherwise(0).cast("bigint")
         mirror = F.when(ry & ~rx, F.lit(full)).otherwise(F.lit(0)).cast("bigint")
         x, y = s["x"].bitwiseXOR(mirror), s["y"].bitwiseXOR(mirror)
-        return F.struct(F.when(ry, y).otherwise(x).alias("x"), F.when(ry, x).otherwise(y).alias("y"), (s["k"] * 4 + q).alias("k"))
+        return F.struct(F.when(ry, y).otherwise(x).alias("x"), F.when(ry, x).otherwise(y).alias("y"), F.shiftleft(s["k"], 2).bitwiseOR(q).alias("k"))
 
-    masks = F.array(*[F.lit(1 << k).cast("bigint") for k in range(bits - 1, -1, -1)])
-    return F.aggregate(masks, start, step)["k"]
+    masks = F.array(*[F.lit(1 << k).cast("bigint") for k in range(31, -1, -1)])
+    return F.aggregate(masks, start, step)["k"].bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def inverse(lat1, lng1, lat2, lng2, *, ellipsoid: str = "WGS84", unit: str = "m") -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +174,57 @@ def direct(lat, lng, metres, bearing, *, ellipsoid: str = "WGS84") -> tuple[np.n
     return np.degrees(lat2), (np.asarray(lng) + np.degrees(dl) + 180) % 360 - 180
 
 
+def intermediate(lat1: float, lng1: float, lat2: float, lng2: float, parts: int, *, ellipsoid: str = "WGS84") -> tuple[np.ndarray, np.ndarray]:
+    """The ends and the points between them that cut the geodesic into equal ``parts``."""
+    metres, bearing = inverse(np.array([lat1], float), np.array([lng1], float), np.array([lat2], float), np.array([lng2], float), ellipsoid=ellipsoid)
+    return direct(np.full(parts + 1, float(lat1)), np.full(parts + 1, float(lng1)), metres[0] * np.arange(parts + 1) / parts, np.full(parts + 1, bearing[0]), ellipsoid=ellipsoid)
+
+
+@F.pandas_udf(T.DoubleType())
+def line_length(lats: pd.Series, lngs: pd.Series) -> pd.Series:
+    """Metres on WGS84 along lines, given as arrays of degrees; 0 for lines of one point."""
+    sizes = np.fromiter(map(len, lats), np.int64, len(lats))
+    lat, lng = (np.concatenate([np.asarray(x, float) for x in s] or [np.zeros(0)]) for s in (lats, lngs))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
+    metres = inverse(lat[pair], lng[pair], lat[pair + 1], lng[pair + 1])[0] if len(pair) else np.zeros(0)
+    return pd.Series(np.bincount(owner[pair], metres, len(sizes)) if len(pair) else np.zeros(len(sizes)))
+
+
+def encode_steps(start: tuple[int, int], steps: list[tuple[int, int]]) -> bytes:
+    """Steps (fixed point) after a start as zigzag numbers of seven bits a byte, each the way from the step before."""
+    out = bytearray()
+    at = start
+    for step in steps:
+        for a, b in zip(at, step, strict=True):
+            value = (b - a) << 1 if b >= a else ((a - b) << 1) - 1
+            while value > 127:
+                out.append(value & 127 | 128)
+                value >>= 7
+            out.append(value)
+        at = step
+    return bytes(out)
+
+
+def decode_steps(start: tuple[int, int], data: bytes) -> list[tuple[int, int]]:
+    """The steps of ``encode_steps``."""
+    numbers, value, shift = [], 0, 0
+    for byte in data:
+        value |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            numbers.append((value >> 1) ^ -(value & 1))
+            value = shift = 0
+    if shift or len(numbers) % 2:
+        raise ValueError("the steps are cut off")
+    out = []
+    at = start
+    for dlat, dlng in zip(numbers[::2], numbers[1::2], strict=True):
+        at = at[0] + dlat, at[1] + dlng
+        out.append(at)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def ellipsoidal(lat1: pd.Series, lng1: pd.Series, lat2: pd.Series, lng2: pd.Series) -> pd.Series:
     """Metres between points on WGS84."""
@@ -187,6 +251,12 @@ def from_ecef(x: Column, y: Column, z: Column, ellipsoid: str = "WGS84") -> list
     return [F.degrees(lat), F.degrees(F.atan2(y, x)), p / F.cos(lat) - n]
 
 
+def finite(x: Column) -> Column:
+    """Whether a number is neither NaN nor infinite; null is not."""
+    d = x.cast("double")
+    return F.coalesce(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), F.lit(False))
+
+
 def to_half(values: np.ndarray) -> np.ndarray:
     """16-bit floats of 32-bit ones: halves of the last place go up, what is too small is zero, too large infinite."""
     bits = np.asarray(values, np.float32).view(np.uint32)

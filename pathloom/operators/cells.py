@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +11,6 @@ from . import network, search
 MARGIN = 20_000  # fixed point: 0.002 degrees
 
 
-def cell_count(vertices: int, target: int = 2**15) -> int:
-    """Cells for so many vertices."""
-    return math.ceil(vertices / target / 1.03) + 1
-
-
 def by_grid(vertices: DataFrame, rows: int = 4, columns: int = 4) -> DataFrame:
     """(vertex_id, cell_id) by a grid over the vertices' extent."""
     box = vertices.agg(*[f(k).alias(f"{k}_{n}") for k in ("lat", "lng") for n, f in (("lo", F.min), ("hi", F.max))])

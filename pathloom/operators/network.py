@@ -97,16 +97,22 @@ def darts(edges_df: DataFrame, mode: str, metric: str = "distance", forward: boo
     return there if forward else there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id", "weight")
 
 
+def ellipsoid_lengths(edges_df: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(edge_id, metres, half): lengths on WGS84 over all nodes of an edge, exact and as 16-bit floats keep them."""
+    at = vertices.select(F.col("vertex_id").alias("src"), F.struct("lat", "lng").alias("p")).join(edges_df.select("edge_id", "src", "dst", "steps"), "src")
+    last = vertices.select(F.col("vertex_id").alias("dst"), F.struct("lat", "lng").alias("q"))
+    # an edge without inner nodes has no steps
+    line = F.concat(F.array("p"), F.when(F.size("steps") > 0, F.col("steps")).otherwise(F.array("q")))
+    rows = at.join(last, "dst").withColumn("line", line)
+    metres = geo.line_length(F.transform("line", lambda p: p["lat"] / geo.SCALE), F.transform("line", lambda p: p["lng"] / geo.SCALE))
+    return rows.select("edge_id", metres.alias("metres")).select("edge_id", "metres", geo.half_rounded(F.col("metres").cast("float")).alias("half"))
+
+
 def incident(edges_df: DataFrame) -> DataFrame:
     """(vertex_id, other, edge_id): every edge from both ends, whatever may use it."""
     return edges_df.select(F.col("src").alias("vertex_id"), F.col("dst").alias("other"), "edge_id").unionByName(edges_df.select(F.col("dst").alias("vertex_id"), F.col("src").alias("other"), "edge_id"))
 
 
-def steps_from(vertex: Column) -> Column:
-    """An edge's steps as walked from one of its ends."""
-    return F.when(F.col("src") == vertex, F.col("steps")).otherwise(F.reverse("steps"))
-
-
 def best_parallel(darts_df: DataFrame) -> DataFrame:
     """Of parallel darts the lightest, of equals the one with the least edge id."""
     return darts_df.groupBy("src", "dst").agg(F.min(F.struct("weight", "edge_id")).alias("m")).select("src", "dst", "m.edge_id", "m.weight")

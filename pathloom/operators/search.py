@@ -15,7 +15,12 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` in the shared checkpoint folder, so that a loop's plan stays short and lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] == "local":
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

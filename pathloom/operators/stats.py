@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import network
-
-
-def histogram(df: DataFrame, column: str) -> DataFrame:
-    """(value, n) of a column; missing values are one of them."""
-    return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("(missing)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+from ..functions import tags as t
+from . import network, search
 
 
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,6 +43,12 @@ def tag_examples(ways: DataFrame) -> DataFrame:
     return ways.groupBy(F.coalesce(F.try_element_at("tags", F.lit("highway")), F.lit("(missing)")).alias("highway")).agg(F.min("way_id").alias("way_id"))
 
 
+def access_examples(ways: DataFrame) -> DataFrame:
+    """(key, value, way_id): the first way that has a value of one of the tags that regulate access."""
+    rows = ways.select("way_id", F.explode("tags").alias("key", "value")).where(F.col("key").isin(*[k for k, _ in t.OVERRIDES]))
+    return rows.groupBy("key", "value").agg(F.min("way_id").alias("way_id"))
+
+
 def lint(vertices: DataFrame, edges: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """(check, n): rows that break a rule of the network; all are 0 in a sound one."""
     ids = vertices.select(F.col("vertex_id").alias("v"))
@@ -84,3 +86,37 @@ def pixels(vertices: DataFrame, width: int = 64, height: int = 64) -> DataFrame:
     px = F.least(F.floor(width * (F.col("x") - F.col("min_x")) / (F.col("max_x") - F.col("min_x"))), F.lit(width - 1))
     py = F.least(F.floor(height * (1 - (F.col("y") - F.col("min_y")) / (F.col("max_y") - F.col("min_y")))), F.lit(height - 1))
     return rows.groupBy(px.cast("bigint").alias("px"), py.cast("bigint").alias("py")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct values of ``key`` with their places (``number``) in order, from 1, counted by ranges and not in one task."""
+    ids = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    ids = search.settled(ids.withColumn("place", F.monotonically_increasing_id() % (1 << 33)))
+    firsts, total = [], 0
+    for r in sorted(ids.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        firsts.append((r["part"], total + 1))
+        total += r["n"]
+    first = ids.sparkSession.createDataFrame(firsts, "part int, first bigint")
+    return ids.join(F.broadcast(first), "part").select(key, (F.col("first") + F.col("place")).alias("number"))
+
+
+def offset_errors(offsets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(check, n): offsets (vertex_id, first_out) that fall, don't begin at 0, or leave out or exceed the edges of a vertex."""
+    at = numbered(offsets, "vertex_id").join(offsets, "vertex_id")
+    following = at.select((F.col("number") - 1).alias("number"), F.col("first_out").alias("next_out"))
+    out = edges.groupBy(F.col("src").alias("vertex_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = at.join(following, "number", "left").join(out, "vertex_id", "left")
+    return rows.agg(
+        F.count_if(F.col("next_out") < F.col("first_out")).alias("falling"),
+        F.count_if((F.col("number") == 1) & (F.col("first_out") != 0)).alias("start"),
+        F.count_if(F.col("next_out") - F.col("first_out") != F.coalesce("n", F.lit(0))).alias("wrong_degree"),
+    ).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in ("falling", "start", "wrong_degree")])).alias("c")).select("c.*")
+
+
+def in_edge_errors(in_edges: DataFrame, edges: DataFrame) -> DataFrame:
+    """(check, n): in-edges (vertex_id, edge_id) that are no edges, end elsewhere, or stand twice; and edges that are no in-edge."""
+    both = in_edges.groupBy("vertex_id", "edge_id").agg(F.count(F.lit(1)).alias("times")).join(edges.select("edge_id", "dst"), "edge_id", "full")
+    return both.agg(
+        F.count_if(F.col("dst").isNull()).alias("unknown"), F.count_if(F.col("times") > 1).alias("shared"),
+        F.count_if(F.col("vertex_id") != F.col("dst")).alias("elsewhere"), F.count_if(F.col("times").isNull()).alias("missing"),
+    ).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in ("unknown", "shared", "elsewhere", "missing")])).alias("c")).select("c.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,35 @@ from ..functions import geo
 from ..operators import cells, network, route, search, snap
 
 
+#: Bytes of answers that an engine keeps.
+CACHE_BYTES = 100 * 1024 * 1024
+
+
+class Cache:
+    """Texts by key, of at most so many bytes together; the ones that were not asked for longest go first."""
+
+    def __init__(self, most: int):
+        self.most, self.bytes = most, 0
+        self.held: OrderedDict[tuple, str] = OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def get(self, key: tuple) -> str | None:
+        if key in self.held:
+            self.held.move_to_end(key)
+        return self.held.get(key)
+
+    def put(self, key: tuple, text: str) -> None:
+        """Keeps a text, if it alone is not larger than the cache."""
+        self.bytes -= len(self.held.pop(key, "").encode())
+        if (size := len(text.encode())) <= self.most:
+            self.held[key] = text
+            self.bytes += size
+        while self.bytes > self.most:
+            self.bytes -= len(self.held.popitem(last=False)[1].encode())
+
+
 class Engine:
     """Answers route requests over (vertices, edges).
 
@@ -19,14 +49,13 @@ class Engine:
     Overlays are made once for each mode and metric, and kept in the checkpoint folder.
     """
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame, cell_count: int = 1, snap_cost: str = "metres"):
+    def __init__(self, vertices: DataFrame, edges: DataFrame, cell_count: int = 1, cache_bytes: int = CACHE_BYTES):
         self.vertices, self.edges = search.settled(vertices), search.settled(edges)
         self.cells = search.settled(cells.by_curve(self.vertices, cell_count))
         self.celled = search.settled(cells.with_cells(self.edges, self.cells))
         self.points = search.settled(snap.points(self.vertices, self.edges))
-        self.snap_cost = snap_cost
         self.overlays: dict[tuple[str, str, bool], tuple[DataFrame, DataFrame]] = {}
-        self.answers: dict[tuple, DataFrame] = {}
+        self.answers = Cache(cache_bytes)
         self.began = time.time()
 
     @property
@@ -49,10 +78,16 @@ class Engine:
             raise ValueError("wrong metric")
         if avoid not in (None, "ferries"):
             raise ValueError("wrong avoid")
+        return self._route(points, route.TRAVELMODES[travelmode], metric, avoid == "ferries")
+
+    def answer(self, waypoints: str, travelmode: str = "driving", metric: str = "time", avoid: str | None = None) -> str:
+        """The JSON document of ``route``, one string; documents are kept, by all parameters, up to the cache's bytes."""
         key = (waypoints, travelmode, metric, avoid)
-        if key not in self.answers:
-            self.answers[key] = self._route(points, route.TRAVELMODES[travelmode], metric, avoid == "ferries")
-        return self.answers[key]
+        found = self.answers.get(key)
+        if found is None:
+            found = self.route(*key).first()["json"]
+            self.answers.put(key, found)
+        return found
 
     def _route(self, points: list[tuple[float, float]], mode: str, metric: str, avoid_ferries: bool) -> DataFrame:
         fixed = [(k, int((lat * geo.SCALE + 0.5) // 1), int((lng * geo.SCALE + 0.5) // 1)) for k, (lat, lng) in enumerate(points)]

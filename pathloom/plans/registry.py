@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tags
 from ..operators import cells, network, route, search, snap, stats
-from ..sources import derived
+from ..sources import derived, store
 from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,19 +67,29 @@ def tag_maxspeed(spark, d):
     return ways(spark, d).select("way_id", F.round(tags.max_speed(F.col("tags")), 6).alias("speed"))
 
 
-UNITS = ["30", "6,5", "20 mph", "6 Knoten", "+70", "walk", "12' 6\"", "7ft6in", "130cm", "0.6 mi", "2 km", "7.5T", "200kg", "108000 lbs", "Yes", "designated", "no", ""]
+# Inputs of the field's unit tests with the truth, km/h, metres and metric tons that they must give; None is no value.
+UNITS = [
+    ("Yes", True, None, None, None), ("true", True, None, None, None), ("No", False, None, None, None), ("0", False, 0.0, 0.0, 0.0), ("1", True, 1.0, 1.0, 1.0),
+    ("30", False, 30.0, 30.0, 30.0), ("31.25", False, 31.25, 31.25, 31.25), ("6,5", False, 6.5, 6.5, 6.5), ("20kmh", False, 20.0, None, None), ("50 Km/h", False, 50.0, None, None),
+    ("20 mph", False, 32.1869, None, None), ("6 Knoten", False, 11.112, None, None), ("+70", False, 70.0, 70.0, 70.0), ("0020", False, 20.0, 20.0, 20.0), ("5 kt", False, 9.26, None, None),
+    ("30 Km/Hour", False, 30.0, None, None), ("40 kmp", False, 40.0, None, None), ("walk", False, None, None, None), ("2 km", False, 2.0, 2000.0, None), ("12' 6\"", False, 12.0, 3.81, 12.0),
+    ("6'", False, 6.0, 1.8288, 6.0), ("6\"", False, 6.0, 0.1524, 6.0), ("7ft6in", False, None, 2.286, None), ("6'-6\"", False, 6.0, 1.9812, 6.0), ("1,5 Meter", False, None, 1.5, None),
+    ("130cm", False, None, 1.3, None), ("0.6 mi", False, None, 965.6064, None), ("7.5T", False, None, None, 7.5), ("7.5 tonnes", False, None, None, 7.5), ("5 To", False, None, None, 5.0),
+    ("200kg", False, None, None, 0.2), ("108000 lbs", False, None, None, 48.9888), ("", False, None, None, None),
+]
 
 
-@query("""WITH u AS (SELECT unnest(['30', '6,5', '20 mph', '6 Knoten', '+70', 'walk', '12'' 6"', '7ft6in', '130cm', '0.6 mi', '2 km', '7.5T', '200kg', '108000 lbs', 'Yes', 'designated', 'no', '']) AS input),
-m AS (SELECT input, try_cast(replace(regexp_extract(input, '^\\s*\\+?(\\d+(?:[.,]\\d+)?)\\s*([/\\w]*)', 1), ',', '.') AS DOUBLE) AS x, lower(regexp_extract(input, '^\\s*\\+?(\\d+(?:[.,]\\d+)?)\\s*([/\\w]*)', 2)) AS u,
-  regexp_extract(input, '^\\s*(?:(\\d+)(?:feet|ft|''))?\\s*(?:-?\\s*(\\d+)(?:in|"))?', 1) AS ft, regexp_extract(input, '^\\s*(?:(\\d+)(?:feet|ft|''))?\\s*(?:-?\\s*(\\d+)(?:in|"))?', 2) AS inch FROM u)
-SELECT input, lower(input) IN ('yes', 'true', '1', 'designated') AS flag,
-  round(CASE WHEN u IN ('', 'km') THEN x WHEN u = 'mph' THEN x * 1.609344::DOUBLE WHEN u = 'knoten' THEN x * 1.852::DOUBLE END, 4) AS speed,
-  round(CASE WHEN ft <> '' OR inch <> '' THEN (coalesce(try_cast(ft AS INT), 0) * 12 + coalesce(try_cast(inch AS INT), 0)) * 0.0254::DOUBLE WHEN u IN ('', 'm') THEN x WHEN u = 'cm' THEN x * 0.01::DOUBLE WHEN u = 'km' THEN x * 1000 WHEN u = 'mi' THEN x * 1609.344::DOUBLE END, 4) AS length,
-  round(CASE WHEN u IN ('', 't') THEN x WHEN u = 'kg' THEN x * 0.001::DOUBLE WHEN u = 'lbs' THEN x * (0.4536::DOUBLE / 1000) END, 4) AS weight FROM m""")
+def _units_sql() -> str:
+    word = lambda x: "'" + x.replace("'", "''") + "'"
+    number = lambda x: "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
+    rows = ", ".join(f"({word(u)}, {str(flag).lower()}, {', '.join(map(number, rest))})" for u, flag, *rest in UNITS)
+    return f"SELECT * FROM (VALUES {rows}) t(input, flag, speed, length, weight)"
+
+
+@query(_units_sql())
 def units(spark, d):
     x = F.col("input")
-    rows = spark.createDataFrame([(u,) for u in UNITS], "input string")
+    rows = spark.createDataFrame([(u[0],) for u in UNITS], "input string")
     return rows.select("input", tags.parse_bool(x).alias("flag"), *[F.round(f(x), 4).alias(n) for n, f in (("speed", tags.parse_speed), ("length", tags.parse_length), ("weight", tags.parse_weight))])
 
 
@@ -105,11 +115,9 @@ def edge_lengths(spark, d):
 
 @query()
 def edge_lengths_ellipsoid(spark, d):
-    """Ellipsoidal lengths of the straight lines between edges' ends, as 16-bit floats keep them."""
-    v, e = graph(spark, d)
-    at = lambda k: v.select(F.col("vertex_id").alias(k), *[(F.col(x) / geo.SCALE).alias(f"{k}_{x}") for x in ("lat", "lng")])
-    metres = geo.ellipsoidal("src_lat", "src_lng", "dst_lat", "dst_lng")
-    return e.select("edge_id", "src", "dst").join(at("src"), "src").join(at("dst"), "dst").select("edge_id", metres.alias("metres"), geo.half_rounded(metres.cast("float")).alias("half"))
+    """Lengths on the ellipsoid over all nodes of an edge, and as 16-bit floats keep them."""
+    v, e = settled_graph(spark, d)
+    return network.ellipsoid_lengths(e, v)
 
 
 @query(NET + " SELECT edge_id, maxspeed, oneway, car, bike, foot, ferry FROM edges")
@@ -164,6 +172,11 @@ def tag_examples(spark, d):
     return stats.tag_examples(ways(spark, d))
 
 
+@query(NET + " SELECT key, value, min(way_id) AS way_id FROM (SELECT 'access' AS key, access AS value, way_id FROM tg WHERE access IS NOT NULL UNION ALL SELECT 'bicycle', bicycle, way_id FROM tg WHERE bicycle IS NOT NULL) GROUP BY key, value")
+def access_examples(spark, d):
+    return stats.access_examples(ways(spark, d))
+
+
 @query(NET + " SELECT vertex_id, CAST(coalesce(sum(n) OVER (ORDER BY vertex_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_out FROM (SELECT vertex_id, count(edge_id) AS n FROM vertices LEFT JOIN edges ON src = vertex_id GROUP BY vertex_id)")
 def csr_offsets(spark, d):
     return network.offsets(*graph(spark, d))
@@ -229,9 +242,27 @@ def nearest_vertex(spark, d):
     return snap.nearest_by_grid(asked(spark, d), search.settled(graph(spark, d)[0])).select("query_id", "vertex_id")
 
 
-@query()
+KD = """, kd AS (SELECT vertex_id, NULL::BIGINT AS edge_id, NULL::INT AS step, any_value(lat) AS lat, any_value(lng) AS lng, bool_or(car) AS car, bool_or(bike) AS bike, bool_or(foot) AS foot
+  FROM vertices JOIN (SELECT src AS v, car, bike, foot FROM edges UNION ALL SELECT dst, car, bike, foot FROM edges) ON v = vertex_id GROUP BY vertex_id
+  UNION ALL SELECT src, edge_id, CAST(ps.pos - from_pos - 1 AS INT), lat, lng, car, bike, foot FROM edges JOIN ps ON ps.way_id = edges.way_id AND ps.pos > from_pos AND ps.pos < to_pos)"""
+
+
+@query(NET + KD + " SELECT * FROM kd")
 def kd_points(spark, d):
-    return snap.points(*graph(spark, d))
+    return snap.points(*settled_graph(spark, d))
+
+
+def _add_nearest(mode: str) -> None:
+    def nearest(spark, d):
+        return snap.nearest(asked(spark, d), snap.points(*settled_graph(spark, d)), mode).select("query_id", "vertex_id", "edge_id", "step")
+
+    nearest.__name__ = f"nearest_point_{mode}"
+    best = "arg_min((vertex_id, e, s), (pow((lat - qlat)::DOUBLE, 2) + pow((lng - qlng)::DOUBLE, 2), vertex_id, e, s))"
+    query(f"{NET}{KD}{POINTS}, b AS (SELECT query_id, {best} AS m FROM qs, (SELECT *, coalesce(edge_id, -1) AS e, coalesce(step, -1) AS s FROM kd WHERE {mode}) GROUP BY query_id) SELECT query_id, m[1] AS vertex_id, nullif(m[2], -1) AS edge_id, nullif(m[3], -1) AS step FROM b")(nearest)
+
+
+for _mode in network.MODES:
+    _add_nearest(_mode)
 
 
 @query(NET + " , nd AS (SELECT DISTINCT node_id, 490000000 + (node_id * 7919 % 20011) * 500 AS lat, 60000000 + (node_id * 104729 % 20021) * 800 AS lng FROM pl WHERE n >= 2), best AS (SELECT arg_min(node_id, (abs(lat - 495000000) + abs(lng - 68000000), node_id)) AS node_id FROM nd) SELECT DISTINCT node_id, way_id FROM pl JOIN best USING (node_id) WHERE n >= 2")
@@ -283,10 +314,10 @@ def sssp_hops_bounded(spark, d):
     return search.distances(darts, start.withColumn("dist", F.lit(0.0)), bound=4).select("vertex_id", F.round("dist", 3).alias("dist"))
 
 
-@query()
+@query(f"{NET}, {_darts_sql('car')}, sp_(vertex_id, dist) USING KEY (vertex_id) AS (SELECT {START}, 0::DOUBLE UNION SELECT dst, min(sp_.dist + weight) FROM sp_ JOIN darts ON src = sp_.vertex_id LEFT JOIN recurring.sp_ AS old ON old.vertex_id = dst WHERE old.dist IS NULL OR sp_.dist + weight < old.dist GROUP BY dst) SELECT vertex_id, round(dist, 3) AS dist FROM sp_")
 def sssp_full(spark, d):
     darts, start = car_darts(spark, d)
-    return search.distances(darts, start.withColumn("dist", F.lit(0.0)))
+    return search.distances(darts, start.withColumn("dist", F.lit(0.0))).select("vertex_id", F.round("dist", 3).alias("dist"))
 
 
 @query("SELECT kind, CAST(0 AS BIGINT) AS n FROM (SELECT unnest(['bad_weight', 'not_closed', 'not_least', 'loose_tree_edge', 'bad_root']) AS kind)")
@@ -296,9 +327,25 @@ def sssp_certificate(spark, d):
     return search.violations(darts, sources, search.distances(darts, sources))
 
 
-@query()
+_WEIGHTS = {"distance": "distance", "time": "distance / maxspeed"}
+MATRIX = ", ".join(
+    f"md_{m}_{k} AS (SELECT src_cell AS cell_id, src, dst, {w} AS weight FROM ce WHERE {m} AND src_cell = dst_cell UNION ALL SELECT src_cell, dst, src, {w} FROM ce WHERE {m} AND src_cell = dst_cell{'' if m == 'foot' else ' AND NOT oneway'}), "
+    f"mx_{m}_{k}(cell_id, src, vertex_id, dist) USING KEY (cell_id, src, vertex_id) AS (SELECT cell_id, vertex_id, vertex_id, 0::DOUBLE FROM bd UNION SELECT h.cell_id, h.src, l.dst, min(h.dist + l.weight) FROM mx_{m}_{k} h JOIN md_{m}_{k} l ON l.cell_id = h.cell_id AND l.src = h.vertex_id "
+    f"LEFT JOIN recurring.mx_{m}_{k} AS old ON old.cell_id = h.cell_id AND old.src = h.src AND old.vertex_id = l.dst WHERE old.dist IS NULL OR h.dist + l.weight < old.dist GROUP BY h.cell_id, h.src, l.dst)"
+    for m in network.MODES for k, w in _WEIGHTS.items()
+)
+
+
+@query(NET + GRID + ", " + MATRIX + " " + " UNION ALL ".join(f"SELECT '{m}' AS mode, '{k}' AS metric, cell_id, x.src, vertex_id AS dst, round(dist, 6) AS weight FROM mx_{m}_{k} x JOIN bd USING (cell_id, vertex_id) WHERE x.src <> vertex_id" for m in network.MODES for k in _WEIGHTS))
 def boundary_matrix(spark, d):
-    return cells.overlay(search.settled(celled(spark, d)[3]), "car", "distance")[0]
+    """Shortcuts between the boundary vertices of each cell, for all modes and metrics."""
+    ce = search.settled(celled(spark, d)[3])
+    out = None
+    for mode in network.MODES:
+        for metric in _WEIGHTS:
+            rows = cells.overlay(ce, mode, metric)[0].where("cell_id is not null and src <> dst").select(F.lit(mode).alias("mode"), F.lit(metric).alias("metric"), "cell_id", "src", "dst", F.round("weight", 6).alias("weight"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT CAST(0 AS BIGINT) AS differing")
@@ -373,11 +420,40 @@ def coordinates(spark, d):
     return graph(spark, d)[0].select("vertex_id", lat.alias("lat_deg"), geo.encode(lat).alias("lat_again"), F.round(geo.distance(lat, F.col("lng") / geo.SCALE, F.lit(49.5), F.lit(7.0)), 3).alias("metres"))
 
 
+@query(NET + """, hb(vertex_id, x, y, k, l) AS (SELECT vertex_id, lat::BIGINT + 900000000, lng::BIGINT + 1800000000, 0::HUGEINT, 31 FROM vertices
+  UNION ALL SELECT vertex_id, CASE WHEN ry THEN my ELSE mx END, CASE WHEN ry THEN mx ELSE my END, k * 4 + CASE WHEN rx AND ry THEN 2 WHEN rx THEN 3 WHEN ry THEN 1 ELSE 0 END, l - 1
+  FROM (SELECT *, CASE WHEN ry AND NOT rx THEN 4294967295 - x ELSE x END AS mx, CASE WHEN ry AND NOT rx THEN 4294967295 - y ELSE y END AS my FROM (SELECT *, (x >> l) & 1 = 1 AS rx, (y >> l) & 1 = 1 AS ry FROM hb WHERE l >= 0)))
+SELECT vertex_id, CAST(k - 9223372036854775808::HUGEINT AS BIGINT) AS key FROM hb WHERE l = -1""")
+def hilbert_keys(spark, d):
+    return graph(spark, d)[0].select("vertex_id", geo.hilbert_key(F.col("lat"), F.col("lng")).alias("key"))
+
+
 @query()
 def hilbert_cells(spark, d):
     return cells.by_curve(graph(spark, d)[0], 16)
 
 
+@query(NET + """, nm AS (SELECT vertex_id, row_number() OVER (ORDER BY vertex_id) AS number FROM vertices),
+pr AS (SELECT DISTINCT least(s.number, t.number) AS a, greatest(s.number, t.number) AS b FROM edges JOIN nm s ON src = s.vertex_id JOIN nm t ON dst = t.vertex_id WHERE src <> dst),
+nb AS (SELECT a AS number, string_agg(b::VARCHAR, ' ' ORDER BY b) AS line FROM (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr) GROUP BY a)
+SELECT number, coalesce(line, '') AS line FROM nm LEFT JOIN nb USING (number) UNION ALL SELECT 0, (SELECT count(*) FROM nm)::VARCHAR || ' ' || (SELECT count(*) FROM pr)::VARCHAR""")
+def metis_graph(spark, d):
+    return store.metis_lines(*settled_graph(spark, d))
+
+
+@query(NET + " SELECT edge_id, round(distance / maxspeed, 6) AS weight, round(distance * 3.6::DOUBLE / maxspeed, 6) AS seconds FROM edges WHERE car")
+def edge_times(spark, d):
+    e = graph(spark, d)[1].where("car")
+    return e.select("edge_id", F.round(network.weight("time"), 6).alias("weight"), F.round(route.duration(F.col("distance"), F.col("maxspeed"), "car"), 6).alias("seconds"))
+
+
+@query("SELECT * FROM (VALUES ('falling', 0::BIGINT), ('start', 0), ('wrong_degree', 0), ('unknown', 0), ('shared', 0), ('elsewhere', 0), ('missing', 0)) t(\"check\", n)")
+def offset_checks(spark, d):
+    """Errors of the offsets of out-edges and of the lists of in-edges; a sound network has none, tests have broken ones."""
+    v, e = settled_graph(spark, d)
+    return stats.offset_errors(network.offsets(v, e), e).unionByName(stats.in_edge_errors(e.select(F.col("dst").alias("vertex_id"), "edge_id"), e))
+
+
 @query(NET + " SELECT vertex_id, round(lat / 1e7, 7) AS lat, round(lng / 1e7, 7) AS lng, 0.0::DOUBLE AS height FROM vertices")
 def ecef_roundtrip(spark, d):
     x, y, z = geo.to_ecef(F.col("lat") / geo.SCALE, F.col("lng") / geo.SCALE, F.lit(0.0))

@@ -43,10 +43,48 @@ def test_half_floats():
     assert (np.abs(got[fine] - x[fine]) <= x[fine] * 2**-11).all() and np.isinf(got[x > 65536]).all()
 
 
-def test_hilbert_quadrants(spark):
-    points = [(k, lat, lng) for k, (lat, lng) in enumerate([(-400_000_000, -1_700_000_000), (-400_000_000, 1_000_000_000)])]
-    rows = spark.createDataFrame(points, "k int, lat long, lng long").select(geo.hilbert_key(F.col("lat"), F.col("lng")).alias("key")).collect()
-    assert rows[0].key != rows[1].key and all(0 <= r.key < 1 << 62 for r in rows)
+def test_hilbert_curve(spark):
+    rng = np.random.default_rng(5)
+    points = [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(rng.integers(-900_000_000, 900_000_001, 300), rng.integers(-1_800_000_000, 1_800_000_001, 300)))]
+    points += [(300 + k, lat, lng) for k, (lat, lng) in enumerate([(-900_000_000, -1_800_000_000), (-900_000_000, 1_800_000_000), (900_000_000, 1_800_000_000), (900_000_000, -1_800_000_000), (5, 6), (5, 7)])]
+    keys = {r.k: r.key for r in spark.createDataFrame(points, "k int, lat long, lng long").select("k", geo.hilbert_key(F.col("lat"), F.col("lng")).alias("key")).collect()}
+    assert len(set(keys.values())) == len(points)
+    top = {k: (key + (1 << 63)) >> 62 for k, key in keys.items()}
+    for k, lat, lng in points:
+        north, east = lat + 900_000_000 >= 1 << 31, lng + 1_800_000_000 >= 1 << 31
+        assert top[k] == {(False, False): 0, (False, True): 1, (True, True): 2, (True, False): 3}[north, east]
+    # a small square's points have a run of keys, and each quarter of it a run of these
+    grid = [(k, i, j) for k, (i, j) in enumerate((i, j) for i in range(8) for j in range(8))]
+    start = (1 << 31) - 900_000_000, (1 << 31) - 1_800_000_000  # the corner of a quadrant
+    got = [r.key for r in spark.createDataFrame([(k, start[0] + i, start[1] + j) for k, i, j in grid], "k int, lat long, lng long").select(geo.hilbert_key(F.col("lat"), F.col("lng")).alias("key")).collect()]
+    assert max(got) - min(got) == 63 and len(set(got)) == 64
+    assert all({got[k] - min(got) >> 4 for k, i, j in grid if (i // 4, j // 4) == q} == {min(got[k] - min(got) for k, i, j in grid if (i // 4, j // 4) == q) >> 4} for q in ((0, 0), (0, 1), (1, 1), (1, 0)))
+
+
+def test_ellipsoids_and_points_between():
+    assert len(geo.ELLIPSOIDS) == 31
+    for name in geo.ELLIPSOIDS:
+        lat, lng = geo.intermediate(49.0, 7.0, 50.5, 9.25, 4, ellipsoid=name)
+        whole = geo.inverse(np.array([49.0]), np.array([7.0]), np.array([50.5]), np.array([9.25]), ellipsoid=name)[0][0]
+        parts = geo.inverse(lat[:-1], lng[:-1], lat[1:], lng[1:], ellipsoid=name)[0]
+        assert np.allclose(parts, whole / 4, atol=1e-4) and abs(lat[-1] - 50.5) < 1e-9 and abs(lng[-1] - 9.25) < 1e-9
+
+
+def test_steps_round_trip():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 200):
+        points = [(int(a), int(b)) for a, b in zip(rng.integers(-900_000_000, 900_000_000, n + 1), rng.integers(-1_800_000_000, 1_800_000_000, n + 1))]
+        data = geo.encode_steps(points[0], points[1:])
+        assert geo.decode_steps(points[0], data) == points[1:]
+        if data:
+            with pytest.raises(ValueError):
+                geo.decode_steps(points[0], data[:-1])
+    assert geo.encode_steps((0, 0), [(1, -1), (1, -65)]) == bytes([2, 1, 0, 127])
+
+
+def test_finite(spark):
+    rows = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,), (0.0,)], "x double").select(geo.finite(F.col("x")).alias("f")).collect()
+    assert [r.f for r in rows] == [True, False, False, False, False, True]
 
 
 def test_wrong_requests():
