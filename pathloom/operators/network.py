@@ -53,10 +53,11 @@ def segments(located_df: DataFrame, vertices: DataFrame) -> DataFrame:
     step = geo.distance(F.lag("lat").over(way) / geo.SCALE, F.lag("lng").over(way) / geo.SCALE, F.col("lat") / geo.SCALE, F.col("lng") / geo.SCALE)
     marked = located_df.join(vertices.select(F.col("vertex_id").alias("node_id"), F.lit(True).alias("is_vertex")), "node_id", "left")
     run = marked.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("run", F.sum("step").over(way))
-    whole = Window.partitionBy("way_id")
-    line = run.withColumn("line", F.sort_array(F.collect_list(F.struct("pos", "lat", "lng")).over(whole))).where("is_vertex")
-    kept = line.withColumn("before", F.lag("node_id").over(way)).where("before is null or before <> node_id")
+    kept = run.where("is_vertex").withColumn("before", F.lag("node_id").over(way)).where("before is null or before <> node_id")
     cut = kept.withColumns({"src": F.lag("node_id").over(way), "from_pos": F.lag("pos").over(way), "from_run": F.lag("run").over(way)}).where("src is not null")
+    # a way's line once, joined to its cuts where both lie dealt by way already
+    lines = located_df.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lng"))).alias("line"))
+    cut = cut.select("way_id", "src", "node_id", "from_pos", "pos", "run", "from_run").join(lines, "way_id")
     inner = F.when(F.col("pos") - F.col("from_pos") > 1, F.slice("line", F.col("from_pos") + 2, F.col("pos") - F.col("from_pos"))).otherwise(F.slice("line", 1, 0))
     return cut.select("way_id", "src", F.col("node_id").alias("dst"), "from_pos", F.col("pos").alias("to_pos"), (F.col("run") - F.col("from_run")).alias("distance"), F.transform(inner, lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("steps"))
 

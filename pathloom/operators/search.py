@@ -27,15 +27,31 @@ def settled(df: DataFrame) -> DataFrame:
 def reach(darts: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
     """(vertex_id) reachable from the sources (vertex_id), these included."""
     links = settled(darts.select("src", "dst").distinct())
-    seen = frontier = settled(sources.select("vertex_id").distinct())
+    frontier = settled(sources.select("vertex_id").distinct())
+    # what was seen lies in few tables, each of twice the rounds of the next: so a vertex is written again only as often
+    # as the rounds can be halved, and not once a round
+    seen: list[tuple[int, DataFrame]] = [(1, frontier)]
     for _ in range(rounds):
-        frontier = settled(frontier.join(links, F.col("vertex_id") == F.col("src")).select(F.col("dst").alias("vertex_id")).distinct().join(seen, "vertex_id", "left_anti"))
+        ahead = frontier.join(links, F.col("vertex_id") == F.col("src")).select(F.col("dst").alias("vertex_id")).distinct()
+        for _, part in seen:
+            ahead = ahead.join(part, "vertex_id", "left_anti")
+        frontier = settled(ahead)
         if frontier.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(frontier))
+            return _together([part for _, part in seen])
+        seen.append((1, frontier))
+        while len(seen) > 1 and seen[-1][0] == seen[-2][0]:
+            (n, a), (_, b) = seen.pop(), seen.pop()
+            seen.append((2 * n, settled(a.unionByName(b))))
     raise RuntimeError("the search did not end")
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def component_of(darts: DataFrame, vertex: int) -> DataFrame:
     """The strongly connected component of a vertex: reachable from it, and it from them."""
     start = darts.sparkSession.createDataFrame([(vertex,)], "vertex_id bigint")
@@ -115,21 +131,6 @@ def distances(darts: DataFrame, sources: DataFrame, rounds: int = 100_000, bound
     return now.drop("new")
 
 
-def path_to(tree: DataFrame, target: int, rounds: int = 100_000) -> DataFrame:
-    """(pos, vertex_id, edge_id) from a root to ``target`` along the parents; ``edge_id`` leads to the vertex."""
-    spark = tree.sparkSession
-    steps, at = [], target
-    for _ in range(rounds):
-        row = tree.where(F.col("vertex_id") == at).select("parent", "edge_id").first()
-        if row is None:
-            return spark.createDataFrame([], "pos bigint, vertex_id bigint, edge_id bigint")
-        steps.append((at, row["edge_id"]))
-        if row["parent"] is None:
-            break
-        at = row["parent"]
-    return spark.createDataFrame([(k, v, e) for k, (v, e) in enumerate(reversed(steps))], "pos bigint, vertex_id bigint, edge_id bigint")
-
-
 def violations(darts: DataFrame, sources: DataFrame, tree: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(kind, n): what contradicts that ``tree`` has least distances; all counts are 0 for a right one."""
     d, to = tree.select(F.col("vertex_id").alias("src"), F.col("dist").alias("du")), tree.select(F.col("vertex_id").alias("dst"), F.col("dist").alias("dv"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import search
 
 
 def points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,12 +34,16 @@ def nearest(queries: DataFrame, points_df: DataFrame, mode: str | None = None) -
 def nearest_by_grid(queries: DataFrame, points_df: DataFrame, cell: int = 200_000) -> DataFrame:
     """``nearest`` for very many queries: an equi-join on grid squares, widened until no nearer point can lie outside.
 
-    A query is done when its best point is no farther than the rings looked at reach; the rest go on with squares
-    of twice the side, in which all points are found in the end.
+    A query is done when its best point is no farther than the rings looked at reach; the rest go on with squares of four
+    times the side, until a square holds the earth, where the best is the answer. Longitudes don't wrap. Without points
+    the queries have no rows.
     """
-    todo, done = queries, None
+    if points_df.isEmpty():
+        return nearest(queries.limit(0), points_df)
+    todo, done = search.settled(queries), None
     while True:
         side = cell
+        last = side >= 3_600_000_000
         square = lambda lat, lng: (F.floor(F.col(lat) / side), F.floor(F.col(lng) / side))  # noqa: E731,B023
         gy, gx = square("lat", "lng")
         qy, qx = square("qlat", "qlng")
@@ -47,17 +52,23 @@ def nearest_by_grid(queries: DataFrame, points_df: DataFrame, cell: int = 200_00
         dy, dx = (F.col("lat") - F.col("qlat")).cast("double"), (F.col("lng") - F.col("qlng")).cast("double")
         rank = F.struct((dy * dy + dx * dx).alias("d"), "vertex_id", "lat", "lng")
         best = points_df.select("vertex_id", "lat", "lng", gy.alias("y"), gx.alias("x")).join(asked, ["y", "x"]).groupBy("query_id", "qlat", "qlng").agg(F.min(rank).alias("m"))
-        found = best.where(F.col("m.d") <= float(side) ** 2).select("query_id", "qlat", "qlng", "m.vertex_id", "m.lat", "m.lng")
+        found = search.settled((best if last else best.where(F.col("m.d") <= float(side) ** 2)).select("query_id", "qlat", "qlng", "m.vertex_id", "m.lat", "m.lng"))
         done = found if done is None else done.unionByName(found)
-        todo = queries.join(done, "query_id", "left_anti")
+        todo = search.settled(todo.join(found, "query_id", "left_anti"))
         cell *= 4
-        if cell > 7_200_000_000 or todo.isEmpty() or points_df.isEmpty():
+        if last or todo.isEmpty():
             return done
 
 
-def containing(queries: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(query_id, cell_id) of every box that holds a query's point, edges included."""
-    return queries.alias("q").join(boxes.alias("b"), geo.in_box(F.col("q.qlat"), F.col("q.qlng"), "b")).select("q.query_id", "b.cell_id")
+def containing(queries: DataFrame, boxes: DataFrame, side: int = 10_000_000) -> DataFrame:
+    """(query_id, cell_id) of every box that holds a query's point, edges included.
+
+    An equi-join on squares of ``side`` (a degree), of which a box has one row each that it touches, before the box is tested.
+    """
+    square = lambda x: F.floor(F.col(x) / side).cast("bigint")
+    spread = boxes.where("min_lat <= max_lat and min_lng <= max_lng").withColumn("y", F.explode(F.sequence(square("min_lat"), square("max_lat")))).withColumn("x", F.explode(F.sequence(square("min_lng"), square("max_lng"))))
+    asked = queries.select("query_id", "qlat", "qlng", square("qlat").alias("y"), square("qlng").alias("x"))
+    return asked.alias("q").join(spread.alias("b"), ["y", "x"]).where(geo.in_box(F.col("q.qlat"), F.col("q.qlng"), "b")).select("query_id", "cell_id")
 
 
 def stabbing_ways(ways: DataFrame, nodes: DataFrame, lat: int, lng: int) -> DataFrame:

@@ -103,3 +103,25 @@ def test_cache_is_bounded():
     assert cache.get((7,)) is None
     cache.put((3,), "a")
     assert cache.get((3,)) == "a" and cache.bytes == sum(len(x) for x in cache.held.values())
+
+
+def test_points_in_boxes_and_far_neighbours(spark):
+    rng = random.Random(3)
+    from pathloom.operators import snap
+
+    points = [(k, rng.randrange(-900_000_000, 900_000_000), rng.randrange(-1_800_000_000, 1_800_000_000)) for k in range(60)]
+    boxes = [(k, *(sorted(rng.randrange(-900_000_000, 900_000_000) for _ in "ab")), *(sorted(rng.randrange(-1_800_000_000, 1_800_000_000) for _ in "ab"))) for k in range(20)]
+    boxes = [(k, a, c, b, d) for k, a, b, c, d in boxes] + [(90, points[0][1], points[0][2], points[0][1], points[0][2]), (91, 5, 5, 4, 4)]
+    queries = spark.createDataFrame(points, "query_id long, qlat long, qlng long")
+    found = snap.containing(queries, spark.createDataFrame(boxes, "cell_id int, min_lat long, min_lng long, max_lat long, max_lng long"))
+    assert sorted(map(tuple, found.collect())) == sorted((q, k) for q, y, x in points for k, a, c, b, d in boxes if a <= y <= b and c <= x <= d)
+    places = [(k, rng.randrange(-900_000_000, 900_000_000), rng.randrange(-1_800_000_000, 1_800_000_000)) for k in range(3)]
+    near = snap.nearest_by_grid(queries, spark.createDataFrame(places, "vertex_id long, lat long, lng long"))
+    assert {r.query_id: r.vertex_id for r in near.collect()} == {q: min(places, key=lambda p: ((p[1] - y) ** 2 + (p[2] - x) ** 2, p[0]))[0] for q, y, x in points}
+    assert snap.nearest_by_grid(queries, spark.createDataFrame([], "vertex_id long, lat long, lng long, edge_id long, step int")).count() == 0
+
+
+def test_reach_over_many_rounds(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21), (4, 2)], "src long, dst long")
+    got = search.reach(links, spark.createDataFrame([(0,), (0,)], "vertex_id long"))
+    assert sorted(r.vertex_id for r in got.collect()) == list(range(10))
