@@ -34,7 +34,6 @@ ANCHORS = frozenset(
     al como con cuando del el ella entre era esta este esto está fue ha hay la las lo los me mi muy más ni no nos o
     para pero por porque se ser si sin sobre su sus también te tiene todo un una uno y ya""".split()
 )
-SHORT = 12
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.8
 
@@ -42,25 +41,22 @@ THRESHOLD = 0.8
 def signatures(text: str | None) -> np.ndarray:
     """Hashes of the text's signatures, sorted and distinct.
 
-    A text of under ``SHORT`` words has its words as signatures, and one without words is a signature of itself. The
-    empty text's set is empty.
+    A text in which no anchor is followed by a whole chain has its words as signatures, and one without words is a signature
+    of itself. The empty text's set is empty.
     """
     if not text:
         return np.empty(0, np.uint32)
     ws = WORD.findall(text.lower())
-    found: set[str] = set()
-    if len(ws) >= SHORT:
-        content: list[str] = []
-        spots: list[tuple[str, int]] = []
-        for w in ws:
-            if w in ANCHORS:
+    content: list[str] = []
+    spots: list[tuple[str, int]] = []
+    for w in ws:
+        if w in ANCHORS:
+            spots.append((w, len(content)))
+        else:
+            content.append(w)
+            if not crc32(w.encode("utf-8", "surrogatepass")) & 7:
                 spots.append((w, len(content)))
-            else:
-                content.append(w)
-                if not crc32(w.encode("utf-8", "surrogatepass")) & 7:
-                    spots.append((w, len(content)))
-        found = {f"{a} {content[k]} {content[k + 1]}" for a, k in spots if k + 1 < len(content)}
-    found = found or set(ws) or {text}
+    found = {f"{a} {content[k]} {content[k + 1]}" for a, k in spots if k + 1 < len(content)} or set(ws) or {text}
     return np.unique(np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) for x in found), np.uint32, len(found)))
 
 
