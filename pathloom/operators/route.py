@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import network, search, snap
+from . import network, search
 
 OK, NO_ROUTE = "OK", "No route found"
 TRAVELMODES = {"driving": "car", "walking": "foot", "bicycling": "bike"}
@@ -140,7 +140,8 @@ def steps(path: DataFrame, edges: DataFrame, starts: DataFrame, ends: DataFrame,
     pick = lambda part, v, k: part.join(first, [part["leg"] == first["leg"], part["vertex_id"] == first[v]]).where("length > 1e-7").select(part["leg"], F.lit(k).alias("part"), F.lit(0).alias("pos"), F.col("path").alias("line"), F.lit(None).cast("int").alias("maxspeed"))
     rows = pick(starts, "v", 0).unionByName(middle).unionByName(pick(ends, "w", 2))
     order = Window.partitionBy("leg").orderBy("part", "pos")
-    rows = rows.withColumn("metres", snap.length("line")).withColumn("seconds", duration(F.col("metres"), F.col("maxspeed"), mode))
+    metres = geo.line_length(F.transform("line", lambda p: p["lat"] / geo.SCALE), F.transform("line", lambda p: p["lng"] / geo.SCALE))
+    rows = rows.withColumn("metres", metres).withColumn("seconds", duration(F.col("metres"), F.col("maxspeed"), mode))
     a, b = F.element_at("line", 1), F.element_at("line", -1)
     point = lambda s: (s["lat"] / geo.SCALE, s["lng"] / geo.SCALE)
     turn = geo.orientation(point(F.lag(a).over(order)), point(F.lag(b).over(order)), point(b))

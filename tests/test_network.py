@@ -125,3 +125,17 @@ def test_reach_over_many_rounds(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21), (4, 2)], "src long, dst long")
     got = search.reach(links, spark.createDataFrame([(0,), (0,)], "vertex_id long"))
     assert sorted(r.vertex_id for r in got.collect()) == list(range(10))
+
+
+def test_steps_of_a_route_are_measured_on_the_ellipsoid(spark):
+    import numpy as np
+
+    from pathloom.operators import route
+
+    vertices, edges = town(spark)
+    path = spark.createDataFrame([(0, 0, 20, 10, 1, 1.0), (0, 1, 10, 0, 0, 2.0)], "leg int, pos int, src long, dst long, edge_id long, dist double")
+    ends = spark.createDataFrame([], "query_id int, vertex_id long, length double, path array<struct<lat:long,lng:long>>, leg int, cost double")
+    rows = sorted(route.steps(path, edges, ends, ends, vertices, "car").collect(), key=lambda r: r.pos)
+    want = geo.inverse(np.array([49.0002]), np.array([7.0]), np.array([49.0001]), np.array([7.0]))[0][0]
+    assert len(rows) == 2 and all(r.metres == pytest.approx(want, rel=1e-6) for r in rows)
+    assert rows[0].seconds == pytest.approx(want * 3.6 / 50, rel=1e-5)
