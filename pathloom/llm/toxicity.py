@@ -29,6 +29,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ CLEAN, NEARLY = 3.0, 0.03
 UNIT = 24
 #: Units whose scores a worker remembers.
 MEMORY = 300_000
+#: Bytes of the texts that a worker cuts in units at once; a longer text goes alone.
+SLICE = 2_000_000
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 MARKS = re.compile(r"[\W_]+")
 LONG = re.compile(r"(.)\1{2,}")
@@ -417,6 +420,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit_bags([({intern(w) for w in r["bag"].split()}, int(r["y"])) for r in rows])
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts, in column ``at``, have ``SLICE`` bytes at most, or are one text."""
+    first = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        if i > first and held + size > SLICE:
+            yield batch.slice(first, i - first)
+            first = i
+            held = 0
+        held += size
+    yield batch.slice(first)
+
+
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted"), keep_text: bool = True) -> DataFrame:
     """``docs`` with the probability that a text is toxic, and 1 where it reaches ``threshold``, else 0.
 
@@ -431,10 +446,10 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, float] = {}
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            p = np.concatenate([scores(machine, texts[i : i + 500], memory) for i in range(0, len(texts), 500)]) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names)
+        for whole in batches:
+            for batch in _slices(whole, at):
+                p = scores(machine, batch.column(at).to_pylist(), memory)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names)
 
     return docs.mapInArrow(run, schema)
 

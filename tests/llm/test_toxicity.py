@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pathloom.llm import toxicity
@@ -16,3 +17,11 @@ def test_long_texts_are_learnt_from(spark):
     rows = toxicity.score(docs.where(F.col("doc_id") >= 90), toxicity.train(docs, labels)).collect()
     assert {r.doc_id: r.predicted for r in rows} == {k: int(k % 3 == 0) for k in range(90, 120)}
     assert toxicity.bag("one two three two", 2) < toxicity.bag("one two three two")
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 10)
+    for texts in ([], [None], ["a" * 50], ["", "abc", "é" * 4, None, "x" * 30, "b", "cd"]):
+        parts = [part.column(0).to_pylist() for part in toxicity._slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0)]
+        assert [t for part in parts for t in part] == texts
+        assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 10 for part in parts)
