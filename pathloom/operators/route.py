@@ -66,41 +66,74 @@ def read_waypoints(text: str | None) -> list[tuple[float, float]]:
     return out
 
 
-def legs(darts: DataFrame, starts: DataFrame, ends: DataFrame, overlay_cells: DataFrame | None = None) -> DataFrame:
+def read_request(waypoints: str | None, travelmode: str | None, metric: str | None, avoid: str | None) -> tuple[list[tuple[float, float]], str, str, bool]:
+    """Points, mode, metric and whether to avoid ferries; by default a car's and time. Wrong requests raise ValueError."""
+    points = read_waypoints(waypoints)
+    travelmode, metric = "driving" if travelmode is None else travelmode, "time" if metric is None else metric
+    if travelmode not in TRAVELMODES:
+        raise ValueError("wrong travelmode")
+    if metric not in METRICS:
+        raise ValueError("wrong metric")
+    if avoid not in (None, "ferries"):
+        raise ValueError("wrong avoid")
+    return points, TRAVELMODES[travelmode], metric, avoid == "ferries"
+
+
+def read_requests(asked: pd.DataFrame) -> pd.DataFrame:
+    """``read_request`` of each row, and the text of what is wrong with it."""
+    out = []
+    for r in asked.itertuples(index=False):
+        try:
+            out.append((*read_request(*(None if pd.isna(x) else x for x in r)), None))
+        except ValueError as wrong:
+            out.append((None, None, None, None, str(wrong)))
+    return pd.DataFrame(out, columns=["points", "mode", "metric", "avoid", "error"])
+
+
+def legs(overlay: DataFrame, inner: DataFrame, starts: DataFrame, ends: DataFrame, tasks: int) -> DataFrame:
     """(leg, pos, src, dst, edge_id, cell_id, dist): the best path of every leg, none for a leg without one.
 
-    ``darts`` has src, dst, edge_id, weight and leg, the graph that the leg may use (the overlay and the cells of its
-    ends); ``starts`` and ``ends`` have leg, vertex_id and cost. Each leg is one task's search.
+    ``overlay`` (src, dst, edge_id, weight, cell_id) is for all legs, ``inner`` has the darts of the cells of a leg's ends and
+    the leg; ``starts`` and ``ends`` have leg, vertex_id and cost. The legs are dealt to ``tasks`` tasks, each of which reads the
+    overlay once and searches its legs one after another.
     """
-    rows = darts.select("leg", F.lit("d").alias("kind"), "src", "dst", "edge_id", "cell_id", "weight")
+    names = ["src", "dst", "edge_id", "cell_id", "weight"]
+    task = F.pmod("leg", F.lit(tasks)).cast("int").alias("task")
+    numbers = overlay.sparkSession.range(tasks).select(F.col("id").cast("int").alias("task"))
+    rows = overlay.crossJoin(F.broadcast(numbers)).select("task", F.lit(None).cast("bigint").alias("leg"), F.lit("d").alias("kind"), *names)
+    rows = rows.unionByName(inner.select(task, "leg", F.lit("d").alias("kind"), *names))
     for kind, part in (("s", starts), ("t", ends)):
         none = F.lit(None)
-        rows = rows.unionByName(part.select("leg", F.lit(kind).alias("kind"), F.col("vertex_id").alias("src"), none.cast("bigint").alias("dst"), none.cast("bigint").alias("edge_id"), none.cast("int").alias("cell_id"), F.col("cost").alias("weight")))
+        rows = rows.unionByName(part.select(task, "leg", F.lit(kind).alias("kind"), F.col("vertex_id").alias("src"), none.cast("bigint").alias("dst"), none.cast("bigint").alias("edge_id"), none.cast("int").alias("cell_id"), F.col("cost").alias("weight")))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacent, links, sources, targets = defaultdict(list), [], {}, {}
-        for row in pdf.itertuples(index=False):
+    def solve(batch: pd.DataFrame) -> pd.DataFrame:
+        links, shared, own, sides = [], defaultdict(list), defaultdict(lambda: defaultdict(list)), {"s": defaultdict(dict), "t": defaultdict(dict)}
+        for row in batch.itertuples(index=False):
             if row.kind == "d":
-                adjacent[int(row.src)].append((int(row.dst), float(row.weight), len(links)))
+                near = shared if pd.isna(row.leg) else own[int(row.leg)]
+                near[int(row.src)].append((int(row.dst), float(row.weight), len(links)))
                 links.append((None if pd.isna(row.edge_id) else int(row.edge_id), None if pd.isna(row.cell_id) else int(row.cell_id)))
             else:
-                side = sources if row.kind == "s" else targets
+                side = sides[row.kind][int(row.leg)]
                 side[int(row.src)] = min(float(row.weight), side.get(int(row.src), float("inf")))
-        for vs in adjacent.values():
-            vs.sort(key=lambda x: (x[0], x[1], links[x[2]][0] or -1))
-        dist, via = search.dijkstra(adjacent, sources)
-        best = min(((dist[v] + cost, v) for v, cost in targets.items() if v in dist), default=None)
-        leg, out = int(pdf["leg"].iloc[0]), []
-        if best:
-            v, chain = best[1], []
-            while v in via:
-                chain.append((via[v][0], v, *links[via[v][1]]))
-                v = via[v][0]
-            out = [(leg, k, a, b, e, c, best[0]) for k, (a, b, e, c) in enumerate(reversed(chain))] or [(leg, 0, v, v, None, None, best[0])]
+        by = lambda x: (x[0], x[1], links[x[2]][0] or -1)
+        for some in shared.values():
+            some.sort(key=by)
+        out = []
+        for leg in sorted(sides["s"].keys() & sides["t"].keys()):
+            adjacent = shared | {v: sorted(shared.get(v, []) + more, key=by) for v, more in own[leg].items()}
+            dist, via = search.dijkstra(adjacent, sides["s"][leg])
+            best = min(((dist[v] + cost, v) for v, cost in sides["t"][leg].items() if v in dist), default=None)
+            if best:
+                v, chain = best[1], []
+                while v in via:
+                    chain.append((via[v][0], v, *links[via[v][1]]))
+                    v = via[v][0]
+                out += [(leg, k, a, b, e, c, best[0]) for k, (a, b, e, c) in enumerate(reversed(chain))] or [(leg, 0, v, v, None, None, best[0])]
         frame = pd.DataFrame(out, columns=["leg", "pos", "src", "dst", "edge_id", "cell_id", "dist"])
         return frame.astype({"edge_id": "Int64", "cell_id": "Int32"})
 
-    return rows.groupBy("leg").applyInPandas(solve, "leg int, pos int, src bigint, dst bigint, edge_id bigint, cell_id int, dist double")
+    return rows.groupBy("task").applyInPandas(solve, "leg bigint, pos int, src bigint, dst bigint, edge_id bigint, cell_id int, dist double")
 
 
 def unpacked(path: DataFrame, cell_darts: DataFrame) -> DataFrame:
@@ -121,7 +154,7 @@ def unpacked(path: DataFrame, cell_darts: DataFrame) -> DataFrame:
             out += [(row.leg, row.pos, k, a, b, e, row.dist) for k, (a, b, e) in enumerate(reversed(chain))]
         return pd.DataFrame(out, columns=["leg", "pos", "part", "src", "dst", "edge_id", "dist"])
 
-    parts = cell_darts.select("cell_id", "src", "dst", "edge_id", "weight").groupBy("cell_id").cogroup(sketch.groupBy("cell_id")).applyInPandas(solve, "leg int, pos int, part int, src bigint, dst bigint, edge_id bigint, dist double")
+    parts = cell_darts.select("cell_id", "src", "dst", "edge_id", "weight").groupBy("cell_id").cogroup(sketch.groupBy("cell_id")).applyInPandas(solve, "leg bigint, pos int, part int, src bigint, dst bigint, edge_id bigint, dist double")
     plain = path.where("edge_id is not null or cell_id is null").select("leg", "pos", F.lit(0).alias("part"), "src", "dst", "edge_id", "dist")
     order = Window.partitionBy("leg").orderBy("pos", "part")
     return plain.unionByName(parts).withColumn("pos", F.row_number().over(order) - 1).drop("part")
@@ -150,7 +183,7 @@ def steps(path: DataFrame, edges: DataFrame, starts: DataFrame, ends: DataFrame,
 
 
 def document(steps_df: DataFrame, legs_df: DataFrame) -> DataFrame:
-    """One row, ``json``: the route of all legs (leg, start, stop: positions of their ends), in order."""
+    """(request, json, distance, duration, legs): the route of all legs (request, leg, start, stop: positions of their ends), in order."""
     point = lambda s: F.array(s["lat"] / geo.SCALE, s["lng"] / geo.SCALE)
     step = F.struct(measured(F.col("metres"), distance_text).alias("distance"), measured(F.col("seconds"), duration_text).alias("duration"), point(F.element_at("line", 1)).alias("start_location"), point(F.element_at("line", -1)).alias("end_location"), F.transform("line", point).alias("polyline"), F.col("instruction"))
     box = lambda f, k: f(F.expr(f"{'array_max' if f is F.max else 'array_min'}(transform(line, p -> p.{k}))"))
@@ -159,7 +192,7 @@ def document(steps_df: DataFrame, legs_df: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     d, t = F.coalesce("d", zero), F.coalesce("t", zero)
     leg = F.struct(F.when(F.col("found"), OK).otherwise(NO_ROUTE).alias("status"), measured(d.cast("double"), distance_text).alias("distance"), measured(t.cast("double"), duration_text).alias("duration"), point(F.col("start")).alias("start_location"), point(F.col("stop")).alias("end_location"), F.coalesce(F.transform("ss", lambda x: x["s"]), F.array()).alias("steps"))
-    whole = full.agg(F.sort_array(F.collect_list(F.struct("leg", leg.alias("l")))).alias("ls"), F.sum(d).alias("d"), F.sum(t).alias("t"), *[f(F.coalesce(k, zero)).alias(k) for f, k in ((F.max, "n"), (F.min, "w"), (F.min, "s_"), (F.max, "e"))], F.min_by("start", "leg").alias("start"), F.max_by("stop", "leg").alias("stop"))
+    whole = full.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("leg", leg.alias("l")))).alias("ls"), F.sum(d).alias("d"), F.sum(t).alias("t"), *[f(F.coalesce(k, zero)).alias(k) for f, k in ((F.max, "n"), (F.min, "w"), (F.min, "s_"), (F.max, "e"))], F.min_by("start", "leg").alias("start"), F.max_by("stop", "leg").alias("stop"))
     route = F.struct(measured(F.col("d").cast("double"), distance_text).alias("distance"), measured(F.col("t").cast("double"), duration_text).alias("duration"), point(F.col("start")).alias("start_location"), point(F.col("stop")).alias("end_location"), F.transform("ls", lambda x: x["l"]).alias("legs"))
     bounds = F.struct(F.array(F.col("n") / geo.SCALE, F.col("w") / geo.SCALE).alias("nw"), F.array(F.col("s_") / geo.SCALE, F.col("e") / geo.SCALE).alias("se"))
-    return whole.select(F.to_json(F.struct(bounds.alias("boundingBox"), F.array(route).alias("routes"))).alias("json"), F.col("d").alias("distance"), F.col("t").alias("duration"), F.size("ls").alias("legs"))
+    return whole.select("request", F.to_json(F.struct(bounds.alias("boundingBox"), F.array(route).alias("routes"))).alias("json"), F.col("d").alias("distance"), F.col("t").alias("duration"), F.size("ls").alias("legs"))

@@ -139,3 +139,22 @@ def test_steps_of_a_route_are_measured_on_the_ellipsoid(spark):
     want = geo.inverse(np.array([49.0002]), np.array([7.0]), np.array([49.0001]), np.array([7.0]))[0][0]
     assert len(rows) == 2 and all(r.metres == pytest.approx(want, rel=1e-6) for r in rows)
     assert rows[0].seconds == pytest.approx(want * 3.6 / 50, rel=1e-5)
+
+
+def test_batches_of_routes_are_the_single_ones(spark, monkeypatch):
+    vertices, edges = town(spark)
+    machine = engine.Engine(vertices, edges, 3)
+    at = {r.vertex_id: f"{r.lat / geo.SCALE},{r.lng / geo.SCALE}" for r in vertices.collect()}
+    ids = sorted(at)
+    some = ["|".join(at[v] for v in vs) for vs in ((ids[0], ids[-1]), (ids[2], ids[5], ids[1]), (ids[3], ids[3]))]
+    requests = [(k, w, mode, None, None) for k, w in enumerate(some) for mode in ("walking",)] + [(7, some[1], None, "distance", "ferries"), (8, "1,2", None, None, None), (9, some[0], "flying", None, None), (None, some[0], None, None, None)]
+    monkeypatch.setattr(engine, "MANY_LEGS", 2)  # so that legs share tasks and points are snapped by the grid
+    frame = spark.createDataFrame(requests, "request_id long, waypoints string, travelmode string, metric string, avoid string")
+    got = {r.request_id: r for r in machine.route_many(frame).collect()}
+    assert sorted(got) == [0, 1, 2, 7, 8, 9]
+    assert got[8].error.startswith("too few waypoints") and got[9].error == "wrong travelmode" and got[8].json is None
+    monkeypatch.undo()
+    for k, waypoints, mode, metric, avoid in (requests[1], requests[3]):
+        one = machine.route(waypoints, mode or "driving", metric or "time", avoid).first()
+        assert (got[k].json, got[k].distance, got[k].duration, got[k].legs) == (one.json, one.distance, one.duration, one.legs) and got[k].error is None
+    assert got[1].legs == 2 and got[0].distance > 0
