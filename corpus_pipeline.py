@@ -22,8 +22,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the least id; those without an id come last.
 
-    Near copies have a Jaccard index of 0.8 or more over shingles of five words. Op9's SimHash within
-    four bits cannot reach that, so candidates are found by MinHash bands and checked by their whole sets.
+    Near copies have a Jaccard index of 0.8 or more over shingles of five words. Candidates are the texts that op9's
+    SimHash links join and, as four bits do not reach all near copies, those that share a MinHash band; their whole
+    sets are checked.
     """
     (key,) = c.fresh(docs, "kept_key")
     rows = docs.withColumn(key, nearcopies.row_key()).join(nearcopies.kept(docs).withColumnRenamed("key", key), key, "left_semi")

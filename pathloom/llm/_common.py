@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -38,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nobody holds any more; it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, conflict, *, id_col: str, text_col: str, label_col: str, rows_a_label: int) -> DataFrame:
     """(i, y, t): a bounded sample of labelled documents, of each label 0 and 1 the ``rows_a_label`` with the least hash of their id.
 

@@ -1,11 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands for candidates, an exact check of each.
-
-A text is the set of its runs of five words (one of fewer words is one run). ``BANDS`` keys of ``ROWS`` MinHash values
-each are made of the set; texts that share a key are candidates, and two of similarity s share one with probability
-1 - (1 - s ** ROWS) ** BANDS, which is 0.9997 at 0.8. Of the texts with one key the first is compared with all others
-by their whole shingle sets; those that are not near copies of it go on to a second round among themselves, and so a key
-of many near copies makes no pairs. The few that are left after it are read key by key, each compared with those before
-it that were like none. In the end, of any two near copies that share a key one at least is linked to a text before it.
+"""Near copies by SimHash links and, beyond their radius, MinHash bands; an exact check by word shingles of each.
+
+Texts whose SimHash fingerprints are joined by links within four bits, found by op9's ball hashing, are candidates of
+one key. Their check is the Jaccard similarity of word shingles: a text is the set of its runs of five words (one of
+fewer words is one run). Copies of similarity 0.8 are often more than four bits apart, and for these ``BANDS`` keys of
+``ROWS`` MinHash values each are made of the set as well; texts that share a key are candidates, and two of similarity s
+share one with probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.9997 at 0.8. Of the texts with one key, of either
+kind, the first is compared with all others by their whole shingle sets; those that are not near copies of it go on to
+a second round among themselves, and so a key of many near copies makes no pairs. The few that are left after it are
+read key by key, each compared with those before it that were like none. In the end, of any two near copies that share
+a key one at least is linked to a text before it.
 """
 
 from __future__ import annotations
@@ -67,7 +70,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def firsts(docs: DataFrame) -> DataFrame:
-    """(n, key, size, bands): of each text of ``docs`` (doc_id, text) the least key, the size of its set, and its bands' keys.
+    """(n, key, size, fp, bands): of each text of ``docs`` (doc_id, text) the least key, the size of its set, its SimHash
+    fingerprint, and its bands' keys.
 
     ``n`` numbers the texts in the order of their keys.
     """
@@ -75,14 +79,22 @@ def firsts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["key", "h", "size", "bands"])
+            texts = batch.column(2).to_pylist()
+            sets, prints = [shingles(t) for t in texts], np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.int64()), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["key", "h", "size", "fp", "bands"])
 
-    made = rows.mapInArrow(run, "key string, h string, size bigint, bands array<bigint>")
-    least = c.checkpointed(made.groupBy("h").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")).drop("h"))
+    made = rows.mapInArrow(run, "key string, h string, size bigint, fp bigint, bands array<bigint>")
+    least = c.checkpointed(made.groupBy("h").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("size", "fp", "bands"))).drop("h"))
     return c.checkpointed(least.orderBy("key").withColumn("n", F.monotonically_increasing_id()))
 
 
+def linked(first: DataFrame) -> DataFrame:
+    """(n, size, k): each text of ``first`` under the least of the fingerprints that SimHash links join its own to."""
+    roots = simhash.components(simhash.links(first.select("fp").distinct())).withColumnRenamed("node", "fp")
+    c.release(first.sparkSession)
+    return first.join(roots, "fp", "left").select("n", "size", F.coalesce("root", "fp").alias("k"))
+
+
 def checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of numbers whose ``texts`` (n, text) have a Jaccard index of ``similarity`` or more."""
     both = pairs.join(texts.select(F.col("n").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("n").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
@@ -105,9 +117,10 @@ def _several(left: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, first: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Checked pairs (a, b), a < b, of numbers of ``first``: in each round the least text of a band's key with the others."""
+    """Checked pairs (a, b), a < b, of numbers of ``first``: in each round the least text of a key, SimHash's or a band's, with the others."""
     spark = docs.sparkSession
-    left = _several(first.select("n", "size", F.explode("bands").alias("k")))
+    left = _several(linked(first).unionByName(first.select("n", "size", F.explode("bands").alias("k"))))
+    c.release(spark)
     # the texts of all that share a key, dealt once; rows of one id and text have one key
     wanted = first.select("n", "key").join(left.select("n").distinct(), "n", "left_semi")
     path = f"{spark.sparkContext.getCheckpointDir()}/texts-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from pathloom.llm import decontam, nearcopies
+from pathloom.llm import decontam, nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,6 +66,20 @@ def test_of_near_copies_one_stays(spark):
     assert nearcopies.likeness(nearcopies.shingles(texts[0]), nearcopies.shingles(texts[1])) == jaccard(texts[0], texts[1])
 
 
+def test_simhash_links_near_copies_that_share_no_band(spark):
+    rng = random.Random(4225)  # one of few whose near copies share no band's key
+    base = ["w%d" % rng.randrange(5000) for _ in range(45)] + ["so"] * 15
+    near = [*base[:20], "x", *base[21:]]
+    filled = [[*(f"{name}{k}" for k in range(45)), *["so"] * 400] for name in "uv"]  # of one fingerprint, but unlike
+    texts = [" ".join(ws) for ws in (base, near, *filled)]
+    apart = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    bands = [set(nearcopies.keys(nearcopies.shingles(t))) for t in texts]
+    assert 0 < apart(*texts[:2]) <= simhash.RADIUS and jaccard(*texts[:2]) >= 0.8 and not bands[0] & bands[1]
+    assert apart(*texts[2:]) == 0 and jaccard(*texts[2:]) < 0.8
+    out = corpus_pipeline.deduplicate(spark, table(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in out) == [0, 2, 3]
+
+
 def test_foreign_and_junk_texts_go(spark):
     rng = random.Random(7)
     words = {
