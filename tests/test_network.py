@@ -158,3 +158,15 @@ def test_batches_of_routes_are_the_single_ones(spark, monkeypatch):
         one = machine.route(waypoints, mode or "driving", metric or "time", avoid).first()
         assert (got[k].json, got[k].distance, got[k].duration, got[k].legs) == (one.json, one.distance, one.duration, one.legs) and got[k].error is None
     assert got[1].legs == 2 and got[0].distance > 0
+
+
+def test_nearest_points_of_many_queries_by_the_grid(spark):
+    from pathloom.operators import snap
+    from pathloom.plans import registry
+
+    sf, mode = "/root/testdata/sf0.001", "bike"
+    got = registry.QUERIES[f"nearest_point_{mode}"](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = snap.nearest(registry.asked(spark, sf), snap.points(*registry.graph(spark, sf)), mode).select(got.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
