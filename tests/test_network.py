@@ -170,3 +170,17 @@ def test_nearest_points_of_many_queries_by_the_grid(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = snap.nearest(registry.asked(spark, sf), snap.points(*registry.graph(spark, sf)), mode).select(got.columns)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_places_on_the_edge_of_a_pixel(spark):
+    import math
+
+    lngs = [60_000_000 + k * 800 for k in range(0, 6401, 100)]
+    x = [lng / 1e7 * math.pi * 6378137.0 / 180 for lng in lngs]
+    want = {}
+    for at in x:
+        px = min(math.floor(64 * (at - x[0]) / (x[-1] - x[0])), 63)
+        want[px] = want.get(px, 0) + 1
+    vertices = spark.createDataFrame([(k, 490_000_000 + 500 * k, lng) for k, lng in enumerate(lngs)], "vertex_id long, lat long, lng long")
+    got = {r.px: r.n for r in stats.pixels(vertices).groupBy("px").agg(F.sum("n").alias("n")).collect()}
+    assert got == want
