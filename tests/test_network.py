@@ -211,3 +211,30 @@ def test_of_parallel_edges_the_one_of_sql(spark):
     con.execute("SET TimeZone = 'UTC'")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     assert sorted(map(tuple, registry.QUERIES["parallel_edge_min"](spark, sf).collect())) == sorted(con.execute(registry.SQL["parallel_edge_min"]).fetchall())
+
+
+def test_boundary_matrices_in_parts_and_sparse(spark):
+    rng = random.Random(5)
+    links = [(cell, 100 * cell + rng.randrange(12), 100 * cell + rng.randrange(12), k, rng.randrange(1, 9) / 4) for cell in (0, 1) for k in range(30)]
+    links += [(cell, a, b, edge + 50, weight + 1) for cell, a, b, edge, weight in links]  # heavier parallel ones
+    ends = [(cell, 100 * cell + k) for cell in (0, 1) for k in range(9)] + [(2, 205)]
+    least = {(c, a, b): float("inf") for c, a in ends for b in range(300)}
+    for cell, v in ends:
+        near = {v: 0.0}
+        for _ in range(12):
+            for c, a, b, _e, w in links:
+                if c == cell and a in near:
+                    near[b] = min(near.get(b, float("inf")), near[a] + w)
+        least |= {(cell, v, w): d for w, d in near.items() if (cell, w) in ends and w != v}
+    want = {k: d for k, d in least.items() if d < float("inf")}
+    darts = spark.createDataFrame(links, "cell_id int, src long, dst long, edge_id long, weight double")
+    boundary = spark.createDataFrame(ends, "cell_id int, vertex_id long")
+    assert {(r.cell_id, r.src, r.dst): r.weight for r in search.boundary_matrix(darts, boundary, rows=5).collect()} == want
+    few = {(r.cell_id, r.src, r.dst): r.weight for r in search.boundary_matrix(darts, boundary, sparse=True).collect()}
+    assert len(few) < len(want) and all(want[k] <= d for k, d in few.items())
+    for _ in range(12):
+        for (c, a, b), d in list(few.items()):
+            for (c2, b2, e), d2 in list(few.items()):
+                if c == c2 and b == b2 and e != a and d + d2 < few.get((c, a, e), float("inf")):
+                    few[c, a, e] = d + d2
+    assert few == want
