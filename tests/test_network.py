@@ -238,3 +238,16 @@ def test_boundary_matrices_in_parts_and_sparse(spark):
                 if c == c2 and b == b2 and e != a and d + d2 < few.get((c, a, e), float("inf")):
                     few[c, a, e] = d + d2
     assert few == want
+
+
+def test_an_engine_keeps_no_pairs_that_lead_through_the_boundary(spark):
+    n = 20
+    links = [(k, k, k + 1) for k in range(n - 1)] + [(200 + k, k, (k + n // 2) % n) for k in range(n)]
+    edges = spark.createDataFrame([(e, a, b, int(a >= n // 2), int(b >= n // 2)) for e, a, b in links], "edge_id long, src long, dst long, src_cell int, dst_cell int").withColumns({
+        "distance": F.when(F.col("edge_id") < 200, 10.0).otherwise(5000.0), "maxspeed": F.lit(50), "oneway": F.lit(False), "car": F.lit(True), "ferry": F.lit(False),
+    })
+    machine = object.__new__(engine.Engine)
+    machine.celled, machine.overlays = edges, {}
+    over, _ = machine.overlay("car", "distance")
+    # every vertex has an edge into the other cell, so only single edges are left
+    assert sorted((r.src, r.dst) for r in over.collect()) == sorted({x for _, a, b in links for x in ((a, b), (b, a))})
